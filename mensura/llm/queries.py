@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, packing, pieces
+from . import langid, media, packing, pieces
 
 QUERIES = {
     "op1_pieces": pieces.query,
+    "op2_language": langid.query,
     "op3_media": media.query,
     "op7_packing": packing.query,
 }
