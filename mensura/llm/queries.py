@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, pieces
+from . import chat, langid, media, packing, pieces
 
 QUERIES = {
     "op1_pieces": pieces.query,
     "op2_language": langid.query,
     "op3_media": media.query,
+    "op4_chat": chat.query,
     "op7_packing": packing.query,
 }
 
