@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, packing, pieces
+from . import chat, langid, media, packing, pieces, pii
 
 QUERIES = {
     "op1_pieces": pieces.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media": media.query,
     "op4_chat": chat.query,
     "op7_packing": packing.query,
+    "op8_pii": pii.query,
 }
 
 ORACLES: dict[str, str] = {}
