@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, packing, pieces, pii
+from . import chat, langid, media, neardup, packing, pieces, pii
 
 QUERIES = {
     "op1_pieces": pieces.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.query,
     "op7_packing": packing.query,
     "op8_pii": pii.query,
+    "op10_neardup": neardup.query,
 }
 
 ORACLES: dict[str, str] = {}
