@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, neardup, packing, pieces, pii
+from . import chat, langid, media, neardup, packing, pieces, pii, substring
 
 QUERIES = {
     "op1_pieces": pieces.query,
     "op2_language": langid.query,
     "op3_media": media.query,
     "op4_chat": chat.query,
+    "op6_substring": substring.query,
     "op7_packing": packing.query,
     "op8_pii": pii.query,
     "op10_neardup": neardup.query,
