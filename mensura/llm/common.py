@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,15 +39,15 @@ class Scratch:
     ``drop(df)`` removes one that nothing needs any more; ``close()`` removes the rest.
     """
 
-    live: weakref.WeakSet[Scratch] = weakref.WeakSet()
-    closed_late: list[Scratch] = []
+    open: list[Scratch] = []
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, owned: bool = False):
+        """owned: only whoever made it closes it, ``release_scratch`` doesn't."""
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
-        Scratch.live.add(self)
-        Scratch.closed_late.append(self)
+        self.owned = owned
+        Scratch.open.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -70,21 +69,21 @@ class Scratch:
                 self._delete(path)
 
     def close(self) -> None:
-        if self in Scratch.closed_late:
-            Scratch.closed_late.remove(self)
+        if self in Scratch.open:
+            Scratch.open.remove(self)
         try:
             self._delete(self.root)
         except Exception:  # the session may have ended
             pass
 
 
-def release_scratch() -> None:
+def release_scratch(owned: bool = False) -> None:
     """Remove the intermediate tables of everything that has run so far; results must have been written by then."""
-    for s in list(Scratch.closed_late):
+    for s in [s for s in Scratch.open if owned or not s.owned]:
         s.close()
 
 
-atexit.register(release_scratch)
+atexit.register(release_scratch, True)
 
 
 def with_columns_after(df: DataFrame, *names: str) -> DataFrame:
