@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
     """For each key the values of the row that comes first; combined before it is shuffled."""
-    return rows.groupBy(*key).agg(F.min(F.struct(*order, *values)).alias("_first")).select(*key, *[F.col(f"_first.{v}").alias(v) for v in values])
+    return rows.groupBy(*key).agg(F.min(F.struct(*dict.fromkeys([*order, *values]))).alias("_first")).select(*key, *[F.col(f"_first.{v}").alias(v) for v in values])
 
 
 def disputed(rows: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
