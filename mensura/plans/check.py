@@ -14,7 +14,8 @@ from ..operators import attach as attaching
 from ..operators import coverage, merge
 from ..shared import keeper
 from ..sources import comments, fortran
-from ..units import Quantity, UnitFault, default_catalog, parse
+from ..settings import Settings
+from ..units import Quantity, UnitFault
 from .typing import SEVERITY, Environment, Signature, Typer
 
 _TEXT, _INT = T.StringType(), T.IntegerType()
@@ -34,10 +35,10 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(cols, schema, strict=True)], names=schema.names)
 
 
-def file_facts(path: str, text: str) -> Iterator[tuple]:
+def file_facts(path: str, text: str, settings: Settings) -> Iterator[tuple]:
     """What one file says, as rows of FACT."""
     src = fortran.read(text)
-    notes = comments.scan(text, declared=frozenset(d.first for d in src.declarations))
+    notes = comments.scan(text, settings.patterns, settings.dead, frozenset(d.first for d in src.declarations))
 
     def fact(kind, name=None, scope=None, owner=None, type=None, a=None, b=None, line=None, col=None, line_end=None, name_line=None, number=None):
         return path, kind, name, scope, owner, type, a, b, line, col, line_end, name_line, number
@@ -73,26 +74,24 @@ def file_facts(path: str, text: str) -> Iterator[tuple]:
         yield fact("call", c)
 
 
-def facts(sources: DataFrame) -> DataFrame:
+def facts(sources: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _batch(list(file_facts(path, text or "")), FACT)
+                yield _batch(list(file_facts(path, text or "", settings)), FACT)
 
     return sources.select("path", "text").mapInArrow(run, FACT)
 
 
-def _quantity(text: str | None) -> Quantity | None:
-    try:
-        return None if text is None else parse(text, default_catalog()).unit
-    except UnitFault:
-        return None
+def environment(own: list, imported: list, routines: list, settings: Settings) -> Environment:
+    """A file's environment from its joined rows."""
 
+    def _quantity(unit: str | None) -> Quantity | None:
+        try:
+            return None if unit is None else settings.read(unit)
+        except UnitFault:
+            return None
 
-def file_findings(path: str, text: str, own: list, imported: list, routines: list, scale: bool) -> Iterator[tuple]:
-    """Typing of one file in its environment, as rows of FOUND."""
-    src = fortran.read(text)
-    notes = comments.scan(text, declared=frozenset(d.first for d in src.declarations))
     env = Environment()
     for x in own:
         q = _quantity(x["unit_text"])
@@ -113,9 +112,16 @@ def file_findings(path: str, text: str, own: list, imported: list, routines: lis
         rows.sort(key=lambda x: x["slot"])
         args = [(x["name"], _quantity(x["unit_text"])) for x in rows if x["slot"] >= 0]
         result = next((_quantity(x["unit_text"]) for x in rows if x["slot"] == -1), None)
-        env.signatures[name] = Signature(args, result, all(x["slot"] >= -0 or x["slot"] == -2 for x in rows))
-    typer = Typer(src, notes, env, scale)
-    typer.run()
+        env.signatures[name] = Signature(args, result, any(x["slot"] == -2 for x in rows))
+    return env
+
+
+def file_findings(path: str, text: str, env: Environment, settings: Settings) -> Iterator[tuple]:
+    """Typing of one file in its environment, as rows of FOUND."""
+    src = fortran.read(text)
+    notes = comments.scan(text, settings.patterns, settings.dead, frozenset(d.first for d in src.declarations))
+    typer = Typer(src, notes, env, settings.scale)
+    typer.run(settings.read)
     for f in sorted(typer.found, key=lambda f: (f.sl, f.sc, f.code, f.message)):
         yield path, "finding", f.sl, f.sc, f.el, f.ec, f.code, f.rule, f.message, f.suggestion, None, None, None, None
     for p in typer.points:
@@ -132,12 +138,12 @@ class Checked:
     facts: DataFrame
 
 
-def check(sources: DataFrame, scale: bool = False, external: list[str] | None = None, severities: DataFrame | None = None) -> Checked:
+def check(sources: DataFrame, settings: Settings | None = None) -> Checked:
     """Checks all sources (path, text) together. Routines are known across files; a name of several files is taken from the
-    first path. Modules on the external list needn't be there."""
-    spark = sources.sparkSession
+    first path."""
+    spark, settings = sources.sparkSession, settings or Settings()
     keep = keeper(spark)
-    all_facts = keep(facts(sources))
+    all_facts = keep(facts(sources, settings))
     of = lambda kind: all_facts.where(F.col("fact") == kind)
     # PRE lines without a unit are part of a block, too
     notes = of("annotation").select("path", F.col("type").alias("kind"), "line", "col", F.col("name").alias("unit_text"))
@@ -181,7 +187,7 @@ def check(sources: DataFrame, scale: bool = False, external: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                yield _batch(list(file_findings(path, text or "", a or [], b or [], c or [], scale)), FOUND)
+                yield _batch(list(file_findings(path, text or "", environment(a or [], b or [], c or [], settings), settings)), FOUND)
 
     found = keep(env.select("path", "text", "own", "imported", "routines").mapInArrow(run, FOUND))
     where = lambda df, code, sl, sc, el, ec, message: df.select(
@@ -194,20 +200,20 @@ def check(sources: DataFrame, scale: bool = False, external: list[str] | None =
     left = got["left_out"].withColumn("line", F.col("anchor"))
     outs.append(where(left, "U025", F.col("line"), F.lit(0), F.col("line"), F.lit(0), F.concat(F.lit("names on later lines have no unit: "), F.array_join("names", ", "))))
     shadow = real(notes).withColumn("symbol", F.explode(F.regexp_extract_all("unit_text", F.lit(r"\^\(?[^*/]*?([A-Za-z]+)"), F.lit(1))))
-    known = F.array(*map(F.lit, default_catalog().names()))
+    known = F.array(*map(F.lit, settings.catalog.names()))
     outs.append(where(shadow.where(F.array_contains(known, F.col("symbol"))), "U026", *spot, F.concat(F.lit("an exponent has a unit's name: "), F.col("symbol"))))
     clash = units.where("origin = 'explicit'").join(own.select(*key, F.col("unit_text").alias("kept")).withColumnsRenamed({"path": "p", "scope": "s", "owner": "o", "name": "n"}), F.expr("path = p and name = n and scope <=> s and owner <=> o and unit_text <> kept"))
     outs.append(where(clash, "U-conflict", *spot, F.concat_ws(" ", F.col("name"), F.lit("has the unit"), F.col("kept"), F.lit("already"))))
     lost = uses.join(of("scope").where("type in ('module', 'submodule')").select(F.col("name").alias("module")).distinct(), "module", "left_anti")
-    lost = lost.where(~F.col("module").isin("iso_fortran_env", "iso_c_binding", "ieee_arithmetic", "ieee_exceptions", *[e.lower() for e in external or ()])).select("path", "module", "line").distinct()
+    lost = lost.where(~F.col("module").isin("iso_fortran_env", "iso_c_binding", "ieee_arithmetic", "ieee_exceptions", *[e.lower() for e in settings.external])).select("path", "module", "line").distinct()
     outs.append(where(lost, "U007", F.col("line"), F.lit(0), F.col("line"), F.lit(0), F.concat(F.lit("module isn't there: "), F.col("module"))))
     diagnostics = outs[0]
     for o in outs[1:]:
         diagnostics = diagnostics.unionByName(o)
     levels = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     diagnostics = diagnostics.withColumn("severity", F.element_at(levels, F.col("code")))
-    if severities is not None:
-        diagnostics = merge.overridden(diagnostics, severities)
+    if settings.severities:
+        diagnostics = merge.overridden(diagnostics, spark.createDataFrame(list(settings.severities.items()), "marker string, severity string"))
     points = found.where("what = 'point'").select("path", F.col("sl").alias("line"), F.col("sc").alias("col"), "name", "scope", "kind", "unit")
     return Checked(diagnostics, points, own, all_facts)
 

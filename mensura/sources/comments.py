@@ -74,6 +74,9 @@ def scan(text: str, patterns: Iterable[Pattern] = UNIT, dead: Iterable[Pattern]
         body, mark = line[at:], line[at + 1 : at + 2]
         if mark in (">", "!"):
             out.pre_lines.append(number)
+        code = line[:at].strip()
+        if not code and mark not in ("<", ">", "!") and number + 1 not in declared:
+            continue  # prose
         gone = [(a, b) for d in dead for a, b, _ in d.spans(body)]
         live = lambda spans, gone=gone: [s for s in spans if not any(s[0] < b and a < s[1] for a, b in gone)]
         for what, p, sep, store in (("assume", ASSUME, ":", out.assumes), ("conversion", AFFINE, "->", out.conversions)):
@@ -103,15 +106,11 @@ def scan(text: str, patterns: Iterable[Pattern] = UNIT, dead: Iterable[Pattern]
         for _, c in others:
             if c[0][2].strip() != unit.strip():
                 out.issues.append(("U021", number, at + c[0][0], at + c[0][1], f"patterns disagree: {unit.strip()} holds, not {c[0][2].strip()}"))
-        code = line[:at].strip()
         if mark == "<" or (mark not in (">", "!") and code):
             kind = "POST"
-        elif mark in (">", "!"):
-            kind = "PRE"
-        elif number + 1 in declared:
-            kind = "PRE"
-            out.pre_lines.append(number)
         else:
-            continue
+            kind = "PRE"
+            if mark not in (">", "!"):
+                out.pre_lines.append(number)
         out.annotations.append(Annotation(kind, number, at + a, at + b, unit.strip()))
     return out
