@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,16 +35,22 @@ def _parsed(text: str | None) -> dict:
     }
 
 
-@F.pandas_udf(PARSED)
-def parse_unit(texts: pd.Series) -> pd.DataFrame:
+def _structs(rows: list[dict], schema: T.StructType) -> pa.Array:
+    kind = lambda t: pa.list_(pa.string()) if isinstance(t, T.ArrayType) else pa.bool_() if isinstance(t, T.BooleanType) else pa.string()
+    return pa.array([{f.name: r.get(f.name) for f in schema} for r in rows], pa.struct([(f.name, kind(f.dataType)) for f in schema]))
+
+
+@F.arrow_udf(PARSED)
+def parse_unit(texts: pa.Array) -> pa.Array:
     """A unit text's parts, or why it is none. Each distinct text of a batch is read once."""
-    known = {t: _parsed(t) for t in texts.dropna().unique()}
-    return pd.DataFrame([known.get(t, {}) for t in texts], columns=PARSED.names)
+    own = texts.to_pylist()
+    known = {t: _parsed(t) for t in set(own)}
+    return _structs([known[t] for t in own], PARSED)
 
 
-@F.pandas_udf(T.StringType())
-def without_tags(texts: pd.Series) -> pd.Series:
-    return texts.map(strip_tags, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def without_tags(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else strip_tags(t) for t in texts.to_pylist()], pa.string())
 
 
 def _combined(op: str, a: str | None, b: str | None, x: float | None, y: float | None) -> tuple:
@@ -59,17 +65,16 @@ def _combined(op: str, a: str | None, b: str | None, x: float | None, y: float |
     return None if got.unit is None else spell(got.unit), got.fault, got.rule
 
 
-@F.pandas_udf(OUTCOME)
-def combine_units(op: pd.Series, a: pd.Series, b: pd.Series, a_value: pd.Series, b_value: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(OUTCOME)
+def combine_units(op: pa.Array, a: pa.Array, b: pa.Array, a_value: pa.Array, b_value: pa.Array) -> pa.Array:
     """The unit of ``a op b`` (+ - * / **), the fault found and the rule that decided; values are those of literals."""
-    memo: dict[tuple, tuple] = {}
+    memo: dict[tuple, dict] = {}
     rows = []
-    for key in zip(op, a, b, a_value, b_value, strict=True):
-        key = tuple(None if v is None or v != v else v for v in key)
+    for key in zip(*(x.to_pylist() for x in (op, a, b, a_value, b_value)), strict=True):
         if key not in memo:
-            memo[key] = _combined(*key)
+            memo[key] = dict(zip(OUTCOME.names, _combined(*key), strict=True))
         rows.append(memo[key])
-    return pd.DataFrame(rows, columns=OUTCOME.names)
+    return _structs(rows, OUTCOME)
 
 
 def with_parsed(df: DataFrame, text: str, name: str = "parsed") -> DataFrame:
