@@ -9,6 +9,7 @@ worker; a text's ids are the table's rows joined back by position.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,10 +61,10 @@ class PieceTable:
             self.texts.clear()
             new = list(set(words))
         # the library adds one marker by itself, except to an empty text
-        coded = self.sp.encode([w[1:] for w in new])
+        coded = self.sp.encode([w[1:] for w in new], num_threads=1)
         coded = [c if len(w) > 1 else [self.alone] for w, c in zip(new, coded, strict=True)]
-        for w, c, t in zip(new, coded, self.sp.decode(coded), strict=True):
-            self.ids[w] = np.asarray(c, "<i4").tobytes()
+        for w, c, t in zip(new, coded, self.sp.decode(coded, num_threads=1), strict=True):
+            self.ids[w] = array("i", c).tobytes()
             self.texts[w] = " " + t  # decode drops the first marker
 
     def encode(self, text: str) -> tuple[bytes, str]:
