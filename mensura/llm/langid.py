@@ -60,7 +60,7 @@ class Model:
 
     def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
         """Smoothed log frequencies of each entry by language."""
-        c = np.array([*counts.values()], float).reshape(-1, len(self.langs)) + SMOOTH
+        c = np.array([*counts.values()], float).reshape(len(counts), len(self.langs)) + SMOOTH
         return {g: i for i, g in enumerate(counts)}, np.log(c / c.sum(0)) if len(c) else c
 
     def __getstate__(self):
