@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,6 +129,28 @@ def file_findings(path: str, text: str, env: Environment, settings: Settings) ->
         yield path, "point", p.line, p.col, p.line, p.col + len(p.name), None, None, None, None, p.name, p.scope, p.kind, p.unit
 
 
+def _cached(env: DataFrame, run, cache: str, settings: Settings) -> DataFrame:
+    """Findings from the cache by a digest of each file's whole environment; those missing are made and added to it."""
+    spark = env.sparkSession
+    lists = [F.array_sort(c).alias(c) for c in ("own", "imported", "routines")]
+    digest = F.sha2(F.to_json(F.struct(F.lit(settings.digest).alias("settings"), "path", "text", *lists)).cast("binary"), 256)
+    env = env.withColumn("key", digest)
+    keys = env.select("path", "key")
+    try:
+        old = spark.read.schema(T.StructType([T.StructField("key", _TEXT), *FOUND.fields])).parquet(cache)
+        old.isEmpty()
+    except AnalysisException:
+        old = spark.createDataFrame([], T.StructType([T.StructField("key", _TEXT), *FOUND.fields]))
+    fresh = env.join(old.select("key").distinct(), "key", "left_anti")
+    made = fresh.drop("key").mapInArrow(run, FOUND)
+    # a row for the file itself, so that files without findings are known, too
+    mark = fresh.select("key", "path", F.lit("typed").alias("what"))
+    for f in FOUND.fields[2:]:
+        mark = mark.withColumn(f.name, F.lit(None).cast(f.dataType))
+    made.join(keys, "path").select("key", *FOUND.names).unionByName(mark).write.mode("append").parquet(cache)
+    return spark.read.schema(old.schema).parquet(cache).join(keys.select("key"), "key", "left_semi").select(*FOUND.names)
+
+
 @dataclass
 class Checked:
     """Lazily joined results of a check. All frames have a ``path`` column."""
@@ -138,9 +161,10 @@ class Checked:
     facts: DataFrame
 
 
-def check(sources: DataFrame, settings: Settings | None = None) -> Checked:
+def check(sources: DataFrame, settings: Settings | None = None, cache: str | None = None) -> Checked:
     """Checks all sources (path, text) together. Routines are known across files; a name of several files is taken from the
-    first path."""
+    first path. cache: a folder of earlier findings; a file is typed anew only if its text, what it gets from others or the
+    settings have changed."""
     spark, settings = sources.sparkSession, settings or Settings()
     keep = keeper(spark)
     all_facts = keep(facts(sources, settings))
@@ -189,7 +213,11 @@ def check(sources: DataFrame, settings: Settings | None = None) -> Checked:
             for path, text, a, b, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 yield _batch(list(file_findings(path, text or "", environment(a or [], b or [], c or [], settings), settings)), FOUND)
 
-    found = keep(env.select("path", "text", "own", "imported", "routines").mapInArrow(run, FOUND))
+    env = env.select("path", "text", "own", "imported", "routines")
+    if cache is None:
+        found = keep(env.mapInArrow(run, FOUND))
+    else:
+        found = keep(_cached(keep(env), run, cache, settings))
     where = lambda df, code, sl, sc, el, ec, message: df.select(
         "path", sl.cast("int").alias("sl"), sc.cast("int").alias("sc"), el.cast("int").alias("el"), ec.cast("int").alias("ec"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("rule"), message.alias("message"), F.lit(None).cast("string").alias("suggestion")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -11,6 +12,7 @@ from .units import Catalog, Quantity, UnitFault, default_catalog, parse
 from .units.text import WIDENINGS
 
 FILE = "mensura.toml"
+VERSION = 1  # of the rules; findings kept by another aren't used
 
 
 @dataclass
@@ -27,6 +29,11 @@ class Settings:
     exclude: tuple[str, ...] = ()
     problem: str | None = None  # why the file couldn't be used
 
+    @property
+    def digest(self) -> str:
+        """Of all that findings depend on."""
+        return hashlib.sha256(repr((VERSION, sorted(self.catalog.derived.items()), self.catalog.prefixes, self.allow, self.strip_tags, self.kept_tags, self.patterns, self.dead, self.scale)).encode()).hexdigest()
+
     def read(self, text: str) -> Quantity:
         return parse(text, self.catalog, self.allow, self.strip_tags, self.kept_tags).unit
 

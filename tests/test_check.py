@@ -155,3 +155,13 @@ def test_settings(tmp_path):
     assert s.problem is None and s.scale and s.read("kg knot").factor * 900 == 463 and s.severities == {"U005": "off"}
     f.write_text("scale = [")
     assert load(f).problem and load(None).problem is None
+
+
+def test_kept_findings_are_those_of_a_fresh_check(spark, tmp_path):
+    cache, rows = str(tmp_path / "cache"), [("geo.f90", GEO), ("main.f90", MAIN)]
+    found = lambda rows, cache=None: sorted(map(str, C.check(spark.createDataFrame(rows, "path string, text string"), Settings(scale=True), cache).diagnostics.collect()))
+    assert found(rows, cache) == found(rows)
+    typed = lambda: spark.read.parquet(cache).where("what = 'typed'").count()
+    assert typed() == 2 and found(rows, cache) == found(rows) and typed() == 2
+    other = [("geo.f90", GEO.replace("@unit{m^2}", "@unit{m^3}")), ("main.f90", MAIN)]  # changes what main gets, too
+    assert found(other, cache) == found(other) and typed() == 4

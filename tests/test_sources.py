@@ -99,3 +99,12 @@ def test_patterns_and_dead_ranges():
     two = (Pattern("@unit{"), Pattern("[", "]"))
     got = comments.scan("a = 1 !< @unit{kg} [m]\nb = 1 !< [s]\nc = 1 !< \\f$ [x] \\f$ [K]\n", two, (Pattern("\\f$", "\\f$"),))
     assert [x.unit for x in got.annotations] == ["kg", "s", "K"] and [i[0] for i in got.issues] == ["U021"]
+
+
+def test_preprocessor_and_line_map():
+    from mensura.sources.preprocess import expand, needed
+
+    text = '#define N 3\n#ifdef OLD\na = 1\n#elif defined(NEW) && N > 2\na = N\n#else\na = 2\n#endif\n#include "c.h"\nb = 1\n'
+    assert expand(text, {"NEW": ""}, lambda n: "c = N\nd = 1\n" if n == "c.h" else None) == ("a = 3\nc = 3\nd = 1\nb = 1\n", [5, 9, 9, 10])
+    assert expand(text, {"OLD": ""})[0] == "a = 1\nb = 1\n" and expand(text)[0] == "a = 2\nb = 1\n"
+    assert needed("x.F90", text, {"A": ""}, False) and not needed("x.f90", text, {"A": ""}, False) and not needed("x.F90", "a = 1", {"A": ""}, True)
