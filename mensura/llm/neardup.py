@@ -2,9 +2,11 @@
 
 1. A document's set is its distinct five-word shingles. Documents of equal sets are one class; its least id stands for it.
 2. Signatures of 200 hashes in 40 bands of 5 give buckets. A pair at the threshold 0.75 shares none with probability 2e-5.
-3. In each bucket a pivot is compared with the members that are not yet in its component: first the member that shares the
-   most places in buckets (the text that others are copies of), then growing numbers of pivots, until every bucket is one
-   component or all pairs between its components have been compared. So no pair within a component is ever made.
+3. In each bucket pivots are compared with the members that are not yet in their component: first the member that shares the
+   most places in buckets (the text that others are copies of), then the next eight. What large buckets then still hold in
+   several components, such as texts around one common passage, is compared exactly without making the bucket's pairs:
+   two sets can only reach the threshold if they share one of their rarest shingles (a quarter of each set, and one).
+   So no pair within a component is ever made.
 4. A pair's signatures are compared in batches of 40; it is dropped as soon as the posterior probability that its similarity
    reaches the threshold, given the matches so far, is under one in a million.
 5. Survivors are confirmed on their full sets; confirmed links join components.
@@ -31,7 +33,7 @@ BANDS, ROWS = 40, 5
 STEP = 40  # hashes compared at a time
 MISS = 1e-6
 PART = 256  # members confirmed against one copy of a pivot's text
-GROWTH = 8
+PIVOTS = 8
 
 _K = BANDS * ROWS
 _A = (wordhash.mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -166,6 +168,35 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _sharing_rare(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of members (id, root) of different components that share one of their rarest shingles and whose sizes and
+    places allow the threshold: all pairs that can reach it, and few others."""
+    own = texts.join(members, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets([(t or "").encode() for t in batch.column(2).to_pylist()]))
+            if sets:
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "root", "all"])
+
+    sets = own.select("id", "root", "text").mapInArrow(run, "id long, root long, all array<long>")
+    rows = scratch.keep(sets.select("id", "root", F.size("all").alias("n"), F.explode("all").alias("token")))
+    shared = rows.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1")
+    rows = rows.join(shared, "token").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("common"))
+    # unshared shingles are the rarest and come first in each set's order
+    lone, head = F.col("n") - F.size("common"), F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    rows = rows.withColumn("lone", lone).where(head > F.col("lone"))
+    rows = rows.select("id", "root", "n", "lone", F.posexplode(F.slice("common", 1, (head - F.col("lone")).cast("int"))).alias("at", "t"))
+    rows = scratch.keep(rows.select("id", "root", "n", (F.col("lone") + F.col("at")).alias("at"), F.col("t.token").alias("token")))
+    x, y = rows.alias("x"), rows.alias("y")
+    met = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root <> y.root"))
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    met = met.where(F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (least id reachable), kept (doc_id = component_id).
 
@@ -196,35 +227,33 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     ids = weight.select("id")
     sigs = scratch.keep(seen.select("id", "sig").join(ids, "id", "left_semi"))
     texts = scratch.keep(docs.join(ids, "id", "left_semi"))
-    scratch_rows = scratch.keep(places.join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")))
+    ranked = scratch.keep(places.join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")))
     scratch.drop(places)
-    rows, links, tested, roots = scratch_rows, same_id, None, None
-    done, wanted = 0, 1
-    while True:
-        if done == 0:
-            pivots = rows.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.minus")).alias("a"))
-            pairs = rows.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b"))
-        else:
-            chosen = rows.where(F.col("place").between(done + 1, done + wanted)).select("key", F.col("id").alias("a"), F.col("place").alias("at"), F.col("root").alias("own"))
-            pairs = rows.join(chosen, "key").where("place > at and root <> own").select("a", F.col("id").alias("b"))
-        pairs = pairs.distinct()
+    rows, links, tested = ranked, same_id, None
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Components after the links among new candidate pairs."""
+        nonlocal links, tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
-        good = scratch.keep(_confirmed(scratch.keep(_survivors(pairs, sigs)), texts))
-        links = links.unionByName(good)
+        links = links.unionByName(scratch.keep(_confirmed(scratch.keep(_survivors(pairs, sigs)), texts)))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = scratch.keep(components(links, scratch))
-        # what is left of each bucket: members not yet compared with all, if they are in more than one component
-        done += wanted
-        if done == 1:
-            rows = scratch_rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank"))))
-        rows = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = rows.where(F.col("place") > done).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        rows = scratch.keep(rows.where(F.col("place") > done).join(mixed, "key", "left_semi"))
-        if rows.isEmpty():
-            break
-        wanted *= GROWTH
+        return scratch.keep(components(links, scratch))
+
+    def unsettled(rows: DataFrame, roots: DataFrame, done: int) -> DataFrame:
+        """What is left of each bucket: members not yet compared with all, if they are in more than one component."""
+        rows = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).where(F.col("place") > done)
+        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return scratch.keep(rows.join(mixed, "key", "left_semi"))
+
+    pivots = rows.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.minus")).alias("a"))
+    roots = joined(rows.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    rows = unsettled(rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank")))), roots, 1)
+    chosen = rows.where(F.col("place") <= 1 + PIVOTS).select("key", F.col("id").alias("a"), F.col("place").alias("at"), F.col("root").alias("own"))
+    roots = joined(rows.join(chosen, "key").where("place > at and root <> own").select("a", F.col("id").alias("b")).distinct())
+    rows = unsettled(rows, roots, 1 + PIVOTS)
+    roots = joined(_sharing_rare(rows.select("id", "root").distinct(), texts, scratch))
     out = belongs.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -10,7 +10,7 @@ import numpy as np
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
-GROUP = 1 << 20  # bytes of texts hashed at once
+GROUP = 1 << 18  # bytes of texts hashed at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
