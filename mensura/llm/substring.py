@@ -23,8 +23,9 @@ from . import wordhash
 from .common import Scratch, arrow_limits, table
 
 WINDOW, ANCHOR = 35, 8
-#: A fingerprint with more occurrences has its windows counted one by one, in any number of tasks.
+#: A fingerprint with more occurrences has its windows dealt by their own hashes.
 HOT = 2048
+MIN_BUCKETS, IN_BUCKET = 64, 100_000  # of windows of hot fingerprints
 BUCKETS = 64
 BATCHES = 2
 FANOUT = 4
@@ -140,19 +141,43 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("kid", "kt", "text").mapInArrow(run, schema)
 
 
-_PARTS = T.StructType(
-    [T.StructField("hot", T.BooleanType()), T.StructField("key", T.LongType()), T.StructField("kid", T.LongType()), T.StructField("kt", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("hashes", T.BinaryType())]
-)
+STRETCH, BUCKET, SETTLED = 0, 1, 2
+_PARTS = "kind int, key long, kid long, kt long, start int, hashes binary, owners binary, starts array<int>"
 
 
-def _candidate_windows(rows: DataFrame) -> DataFrame:
-    """Stretches of windows that share a repeated fingerprint: one row with all their hashes, or a row for each window if
-    the fingerprint is hot."""
+def _candidate_windows(rows: DataFrame, buckets: int) -> DataFrame:
+    """Windows with a repeated fingerprint, in three kinds of rows.
+
+    STRETCH: neighbouring windows of one fingerprint (key) with all their hashes. Windows of hot fingerprints go by their
+    own hash instead: those that occur twice in one batch are SETTLED there, and each batch sends every BUCKET (key) of
+    hashes what it has of it once: the hashes, first those that it has one place of, with these places (owners).
+    """
+
+    def bucketed(hot: list[tuple[np.ndarray, int, int, np.ndarray]]) -> Iterator[dict]:
+        h = np.concatenate([x[0] for x in hot])
+        size = [len(x[0]) for x in hot]
+        kid, kt = (np.repeat(np.array([x[i] for x in hot], np.int64), size) for i in (1, 2))
+        start = np.concatenate([x[3] for x in hot])
+        own, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        twice = n[back] > 1
+        at = 0
+        for (_, a, b, places), m in zip(hot, size, strict=True):
+            if (done := places[twice[at : at + m]]).size:
+                yield {"kind": SETTLED, "kid": a, "kt": b, "starts": done.tolist()}
+            at += m
+        part = own % np.uint64(buckets)
+        order = np.lexsort((n > 1, part))
+        part = part[order]
+        for group in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1):
+            lone = first[group[n[group] == 1]]
+            yield {"kind": BUCKET, "key": int(own[group[0]] % np.uint64(buckets)), "hashes": own[group].tobytes(), "owners": np.stack([kid[lone], kt[lone], start[lone]]).astype(np.int64).tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("kid", pa.int64()), ("kt", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("starts", pa.list_(pa.int32()))])
         for batch in batches:
-            out: list[list] = [[] for _ in _PARTS]
-            known, hot = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            out: list[dict] = []
+            held: list[tuple] = []
+            known, warm = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for i, (h, _) in enumerate(_texts(batch, 2)):
                 least = window_fingerprints(h)[0]
                 if not len(least):
@@ -161,45 +186,34 @@ def _candidate_windows(rows: DataFrame) -> DataFrame:
                 order = np.argsort(fps)
                 at = np.searchsorted(fps, least, sorter=order).clip(0, len(fps) - 1)
                 hit = fps[order[at]] == least
-                warm = np.array(hot[i])[order[at]]
-                starts = np.flatnonzero(hit)
+                hot = np.array(warm[i])[order[at]] & hit
+                kid, kt = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if hot.any():
+                    starts = np.flatnonzero(hot)
+                    held.append((wordhash.mix(least[starts] ^ wordhash.runs(h, starts, WINDOW, 3)), kid, kt, starts))
+                starts = np.flatnonzero(hit & ~hot)
                 if not len(starts):
                     continue
-                whole = wordhash.runs(h, starts, WINDOW, 3)
-                own, warm = least[starts], warm[starts]
-                cut = np.concatenate([[0], np.flatnonzero(warm[1:] | (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1) | warm[:-1]) + 1, [len(starts)]])
-                kid, kt = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                whole, own = wordhash.runs(h, starts, WINDOW, 3), least[starts]
+                cut = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1, [len(starts)]])
                 for a, b in zip(cut, cut[1:], strict=False):
-                    w = bool(warm[a])
-                    key = wordhash.mix(own[a : a + 1] ^ whole[a : a + 1]) if w else own[a : a + 1]
-                    row = (w, int(key.view(np.int64)[0]), kid, kt, int(starts[a]), None if w else whole[a:b].tobytes())
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=_PARTS.names)
+                    out.append({"kind": STRETCH, "key": int(own[a : a + 1].view(np.int64)[0]), "kid": kid, "kt": kt, "start": int(starts[a]), "hashes": whole[a:b].tobytes()})
+            if held:
+                out += bucketed(held)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
 
     return rows.select("kid", "kt", "text", "fps", "hot").mapInArrow(run, _PARTS)
 
 
-def _repeated_in_groups(parts: DataFrame) -> DataFrame:
-    """(kid, kt, starts) of the windows that occur more than once within their fingerprint; groups are bounded by HOT."""
-
-    def settle(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) == 1 and len(rows[0][3]) == 8:
-            return
-        all_hashes = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
-        _, back, n = np.unique(all_hashes, return_inverse=True, return_counts=True)
-        twice, at = n[back] > 1, 0
-        for kid, kt, start, raw in rows:
-            own = np.flatnonzero(twice[at : at + len(raw) // 8])
-            at += len(raw) // 8
-            if len(own):
-                yield kid, kt, (own + start).tolist()
+def _by_key(parts: DataFrame, settle) -> DataFrame:
+    """(kid, kt, starts) that ``settle`` finds in the rows of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             found = []
-            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for k, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if k != key:
                     found += settle(held) if held else ()
                     key, held = k, []
@@ -210,8 +224,36 @@ def _repeated_in_groups(parts: DataFrame) -> DataFrame:
             yield _starts(found)
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = parts.select("key", "kid", "kt", "start", "hashes").repartition(n, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "kid long, kt long, starts array<int>")
+    return parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "kid long, kt long, starts array<int>")
+
+
+def _in_stretches(rows: list[tuple]) -> Iterator[tuple]:
+    """Windows that occur more than once within a fingerprint; there are HOT occurrences at most."""
+    if len(rows) == 1 and len(rows[0][3]) == 8:
+        return
+    _, back, n = np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.uint64), return_inverse=True, return_counts=True)
+    twice, at = n[back] > 1, 0
+    for kid, kt, start, raw in rows:
+        own = np.flatnonzero(twice[at : at + len(raw) // 8])
+        at += len(raw) // 8
+        if len(own):
+            yield kid, kt, (own + start).tolist()
+
+
+def _in_buckets(rows: list[tuple]) -> Iterator[tuple]:
+    """Windows that a batch has one place of, and others have too."""
+    hashes = [np.frombuffer(r[0], np.uint64) for r in rows]
+    _, back, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    twice, at = n[back] > 1, 0
+    for h, (_, owners) in zip(hashes, rows, strict=True):
+        kid, kt, start = np.frombuffer(owners, np.int64).reshape(3, -1)
+        own = np.flatnonzero(twice[at : at + len(kid)])
+        at += len(h)
+        own = own[np.lexsort((kt[own], kid[own]))]
+        cut = np.flatnonzero((kid[own][1:] != kid[own][:-1]) | (kt[own][1:] != kt[own][:-1])) + 1
+        for part in np.split(own, cut):
+            if len(part):
+                yield int(kid[part[0]]), int(kt[part[0]]), start[part].tolist()
 
 
 def _starts(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,11 +282,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
     index.compact()
     known = index.probe(places.select("kid", "kt", "fp")).where("n > 1")
     known = known.groupBy("kid", "kt").agg(F.collect_list("fp").alias("fps"), F.collect_list(F.col("n") > HOT).alias("hot"))
-    parts = scratch.keep(_candidate_windows(docs.join(known, ["kid", "kt"])))
-    hot = parts.where("hot").select("key", "kid", "kt", "start")
-    twice = hot.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    hot = hot.join(twice, "key", "left_semi").select("kid", "kt", F.array("start").alias("starts"))
-    starts = _repeated_in_groups(parts.where("not hot")).unionByName(hot)
+    many = spark.table(index.runs[0]).where(F.col("n") > HOT).agg(F.sum("n")).first()[0] or 0
+    parts = scratch.keep(_candidate_windows(docs.join(known, ["kid", "kt"]), max(MIN_BUCKETS, many * WINDOW // IN_BUCKET)))
+    kind = lambda k: parts.where(F.col("kind") == k)
+    starts = _by_key(kind(STRETCH).select("key", "kid", "kt", "start", "hashes"), _in_stretches)
+    starts = starts.unionByName(_by_key(kind(BUCKET).select("key", "hashes", "owners"), _in_buckets)).unionByName(kind(SETTLED).select("kid", "kt", "starts"))
     starts = scratch.keep(starts.groupBy("kid", "kt").agg(F.flatten(F.collect_list("starts")).alias("starts")))
     index.close()
 
