@@ -10,7 +10,9 @@ and their pieces put together first-fit by falling length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ TABLE_ROWS = 250_000
 _tables: dict[str, TokenTable] = {}
 
 SCHEMA = T.StructType(
-    [T.StructField(n, T.LongType(), n != "doc_id") for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
+    [T.StructField(n, T.LongType(), n == "doc_id") for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
 
 
@@ -38,8 +40,23 @@ def default_model() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers use for each byte: itself if printable in Latin-1, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class TokenTable:
-    """Ids of distinct space-free words. The tokenizer drops white space and lets no token cross it."""
+    """Ids of distinct space-free words. The tokenizer drops white space and lets no token cross it.
+
+    A word of ASCII and accented Latin-1 letters is unchanged by the tokenizer's normaliser but for its case, so it is cut
+    here by the tokenizer's own pattern and only the distinct parts are given to its BPE model; any other word goes through
+    the whole tokenizer.
+    """
+
+    plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, model: str, limit: int = TABLE_ROWS):
         from tokenizers import Tokenizer
@@ -47,8 +64,32 @@ class TokenTable:
         self.tokenizer = Tokenizer.from_file(model)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.limit = limit
         self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            found = array("I", [t.id for t in self.model.tokenize(part.translate(self.letters))]).tobytes()
+            self.parts[part] = found
+        return found
+
+    def learn(self, new: list[bytes]) -> None:
+        other = []
+        for w in new:
+            word = w.decode()
+            if self.plain.fullmatch(word) and "<|" not in word:
+                self.ids[w] = b"".join(map(self._part, self.cut.findall(word.lower())))
+            else:
+                other.append(word)
+        for word, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else [], strict=True):
+            self.ids[word.encode()] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids of a whole text."""
@@ -58,10 +99,7 @@ class TokenTable:
             if len(self.ids) + len(new) > self.limit:
                 self.ids.clear()
                 new = list(set(words))
-            for a in range(0, len(new), 10_000):
-                part = new[a : a + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.learn(new)
         return b"".join(map(self.ids.__getitem__, words))
 
 
