@@ -26,6 +26,7 @@ COLUMNS = 16
 ERROR = 2.1  # standard deviations of the test
 BLOCK, QUERIES = 2048, 128  # vectors and queries that meet at once
 STEPS = 10
+HELD = 50_000  # queries whose best a task holds before it sends them on
 
 
 @dataclass
@@ -153,12 +154,20 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lists.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the best of each query so far in this task
+
+        def flush() -> pa.RecordBatch:
+            size = [len(d) for d, _ in held.values()]
+            cols = np.repeat(np.array([*held], np.int64), size), np.concatenate([i for _, i in held.values()]), np.concatenate([d for d, _ in held.values()])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for vectors, ids, counts, q, q_ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 x, q = np.frombuffer(vectors).reshape(-1, dims), np.frombuffer(q).reshape(-1, dims)
                 ids, counts, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64), np.frombuffer(q_ids, np.int64)
                 ends = np.cumsum(counts)
-                turned, out = own.rotated(x), []
+                turned = own.rotated(x)
                 for i, t in enumerate(own.rotated(q)):
                     near = scan(turned, t, k + 1)
                     d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
@@ -166,10 +175,14 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embed
                     d, own_ids = np.repeat(d, counts[near]), ids[members]
                     other = own_ids != q_ids[i]
                     d, own_ids = d[other], own_ids[other]
+                    if (old := held.get(int(q_ids[i]))) is not None:
+                        d, own_ids = np.concatenate([old[0], d]), np.concatenate([old[1], own_ids])
                     best = np.lexsort((own_ids, d))[:k]
-                    out.append((np.full(len(best), q_ids[i]), own_ids[best], d[best]))
-                a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
+                    held[int(q_ids[i])] = d[best], own_ids[best]
+                if len(held) >= HELD:
+                    yield flush()
+        if held:
+            yield flush()
 
     met = base.join(quest, "list").select("vectors", "ids", "counts", "q", "q_ids").mapInArrow(run, "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
