@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,18 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share (``spark.checkpoint.dir``); a local one only where none is named, as in tests."""
+    """The folder all machines share (``spark.checkpoint.dir``). Where none is named, a folder of this machine will do if no
+    other machine takes part, as in tests; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="mensura-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a batch of the longest texts still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Keep Arrow batches small enough that a batch of the longest texts still fits a Python worker. Smaller ones that the
+    session asks for stay. Frames run after they are made, so these settings can't be put back here."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -41,12 +47,10 @@ class Scratch:
 
     open: list[Scratch] = []
 
-    def __init__(self, spark: SparkSession, name: str, owned: bool = False):
-        """owned: only whoever made it closes it, ``release_scratch`` doesn't."""
+    def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
-        self.owned = owned
         Scratch.open.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -77,13 +81,13 @@ class Scratch:
             pass
 
 
-def release_scratch(owned: bool = False) -> None:
+def release_scratch() -> None:
     """Remove the intermediate tables of everything that has run so far; results must have been written by then."""
-    for s in [s for s in Scratch.open if owned or not s.owned]:
+    for s in [*Scratch.open]:
         s.close()
 
 
-atexit.register(release_scratch, True)
+atexit.register(release_scratch)
 
 
 def with_columns_after(df: DataFrame, *names: str) -> DataFrame:

@@ -2,14 +2,13 @@
 
 1. A document's set is its distinct five-word shingles. Documents of equal sets are one class; its least id stands for it.
 2. Signatures of 200 hashes in 40 bands of 5 give buckets. A pair at the threshold 0.75 shares none with probability 2e-5.
-3. In each bucket pivots are compared with the members that are not yet in their component: first the member that shares the
-   most places in buckets (the text that others are copies of), then the next eight. What large buckets then still hold in
-   several components, such as texts around one common passage, is compared exactly without making the bucket's pairs:
-   two sets can only reach the threshold if they share one of their rarest shingles (a quarter of each set, and one).
-   So no pair within a component is ever made.
+3. In a small bucket every pair of classes is a candidate; in a larger one each member meets the bucket's pivot, the member
+   that shares the most places in buckets (the text that others are copies of). What larger buckets then still hold in
+   several components, such as texts around one common passage, is compared exactly without making the bucket's pairs: two
+   sets can only reach the threshold if they share one of their rarest shingles (a quarter of each set, and one).
 4. A pair's signatures are compared in batches of 40; it is dropped as soon as the posterior probability that its similarity
    reaches the threshold, given the matches so far, is under one in a million.
-5. Survivors are confirmed on their full sets; confirmed links join components.
+5. Survivors are confirmed on their full sets, on 128 bits a shingle; confirmed links join components.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -33,7 +32,7 @@ BANDS, ROWS = 40, 5
 STEP = 40  # hashes compared at a time
 MISS = 1e-6
 PART = 256  # members confirmed against one copy of a pivot's text
-PIVOTS = 8
+SMALL = 8  # members of a bucket whose pairs are all compared
 
 _K = BANDS * ROWS
 _A = (wordhash.mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -42,23 +41,26 @@ _FEATURES = "id long, n_shingles long, digest binary, bands array<long>, sig bin
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words has none."""
+    """The distinct shingles of each text as two rows of hashes, sorted by the first; a text of fewer words is one shingle,
+    one without words has none."""
     for part in wordhash.groups(texts):
-        hashes, _, _, counts, _ = wordhash.words([t.translate(wordhash.LOWER) for t in texts[part]])
+        lanes, counts = wordhash.words([t.translate(wordhash.LOWER) for t in texts[part]])
         at = np.cumsum(counts) - counts
-        windows = np.maximum(counts - size + 1, 0)
-        short = (counts > 0) & (counts < size)
-        whole = wordhash.runs(hashes, at[short], counts[short], 1)
-        starts = np.repeat(at, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        full = wordhash.runs(hashes, starts, size) if len(starts) else np.zeros(0, np.uint64)
-        ends, small = np.cumsum(windows), iter(whole)
-        for n, e, s in zip(windows, ends, short, strict=True):
-            yield np.array([next(small)]) if s else np.unique(full[e - n : e])
+        short = np.flatnonzero((counts > 0) & (counts < size))
+        whole = np.stack([wordhash.whole(x, at[short], counts[short], i) for i, x in enumerate(lanes)])
+        full = np.stack([wordhash.runs(x, size, i) for i, x in enumerate(lanes)])
+        place = dict(zip(short.tolist(), range(len(short)), strict=True))
+        for i, (a, n) in enumerate(zip(at.tolist(), counts.tolist(), strict=True)):
+            if i in place:
+                yield whole[:, [place[i]]]
+            else:
+                own = full[:, a : a + max(n - size + 1, 0)]
+                yield own[:, np.unique(own[0], return_index=True)[1]]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions over a set that isn't empty."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    x = (shingles[0] >> np.uint64(32)).astype(np.uint32)
     out = np.full(_K, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(x), 1024):
         np.minimum(out, (x[a : a + 1024, None] * _A + _B).min(0), out=out)
@@ -92,8 +94,13 @@ def thresholds(k: int = _K, step: int = STEP, miss: float = MISS) -> list[tuple[
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both) and both > 0
+    """Whether two sets reach the threshold; shingles are equal if both of their hashes are."""
+    least, most = sorted((a.shape[1], b.shape[1]))
+    if DENOMINATOR * least < NUMERATOR * most or not least:
+        return False
+    at = np.searchsorted(b[0], a[0]).clip(0, b.shape[1] - 1)
+    both = int(((b[0][at] == a[0]) & (b[1][at] == a[1])).sum())
+    return DENOMINATOR * both >= NUMERATOR * (least + most - both)
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -102,9 +109,9 @@ def _features(df: DataFrame) -> DataFrame:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             ns, digests, sigs = [], [], []
             for s in shingle_sets(texts):
-                ns.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s) if len(s) else np.zeros(_K, np.uint32))
+                ns.append(s.shape[1])
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None)
+                sigs.append(signature(s) if s.size else np.zeros(_K, np.uint32))
             if not ns:
                 continue
             sigs = np.array(sigs)
@@ -122,7 +129,8 @@ def _features(df: DataFrame) -> DataFrame:
 def _survivors(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs that the sequential test doesn't drop."""
     rules = thresholds()
-    held = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    held = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a")
+    held = held.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,10 +151,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     which gets the pivot's text once."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = sizes.select("a", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select("a", "b", F.expr("int(pmod(xxhash64(b), parts))").alias("part"))
+    members = pairs.join(parts.hint("merge"), "a").select("a", "b", F.expr("int(pmod(xxhash64(b), parts))").alias("part"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = members.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
-    rows = rows.unionByName(heads.join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text"))
+    rows = members.join(texts.withColumnRenamed("id", "b").hint("merge"), "b").select("a", "part", "b", "text")
+    rows = rows.unionByName(heads.join(texts.withColumnRenamed("id", "a").hint("merge"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text"))
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
@@ -171,11 +179,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _sharing_rare(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of members (id, root) of different components that share one of their rarest shingles and whose sizes and
     places allow the threshold: all pairs that can reach it, and few others."""
-    own = texts.join(members, "id")
+    own = texts.join(members.hint("merge"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets([(t or "").encode() for t in batch.column(2).to_pylist()]))
+            sets = [s[0] for s in shingle_sets([(t or "").encode() for t in batch.column(2).to_pylist()])]
             if sets:
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
@@ -184,14 +192,14 @@ def _sharing_rare(members: DataFrame, texts: DataFrame, scratch: Scratch) -> Dat
     sets = own.select("id", "root", "text").mapInArrow(run, "id long, root long, all array<long>")
     rows = scratch.keep(sets.select("id", "root", F.size("all").alias("n"), F.explode("all").alias("token")))
     shared = rows.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1")
-    rows = rows.join(shared, "token").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("common"))
+    rows = rows.join(shared.hint("merge"), "token").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("common"))
     # unshared shingles are the rarest and come first in each set's order
     lone, head = F.col("n") - F.size("common"), F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
     rows = rows.withColumn("lone", lone).where(head > F.col("lone"))
     rows = rows.select("id", "root", "n", "lone", F.posexplode(F.slice("common", 1, (head - F.col("lone")).cast("int"))).alias("at", "t"))
     rows = scratch.keep(rows.select("id", "root", "n", (F.col("lone") + F.col("at")).alias("at"), F.col("t.token").alias("token")))
     x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root <> y.root"))
+    met = x.join(y.hint("merge"), F.expr("x.token = y.token and x.id < y.id and x.root <> y.root"))
     need = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
     met = met.where(F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -210,51 +218,47 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     arrow_limits(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     seen = scratch.keep(_features(docs))
-    plain = seen.select("id", "n_shingles", "digest")
     real = seen.where("id is not null and digest is not null")
-    classes = scratch.keep(real.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    belongs = plain.join(classes.where("n > 1").select("digest", "rep"), "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    twice = plain.where("id is not null and digest is not null").groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id")
-    copies = belongs.where("rep <> id").select("id").distinct().join(twice, "id", "left_anti")
+    classes = scratch.keep(real.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by(F.struct("bands", "sig"), "id").alias("x")))
+    belongs = seen.select("id", "n_shingles", "digest").join(classes.where("n > 1").select("digest", "rep").hint("merge"), "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+    # ids with texts of several classes link these
+    twice = real.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id")
     same_id = belongs.where("n_shingles > 0").join(twice, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    # rows of buckets with more than one class
-    places = real.select("id", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    places = scratch.keep(places.join(shared, "key", "left_semi").join(copies, "id", "left_anti").select("key", "id"))
+    # places in buckets that several classes share
+    places = classes.select(F.col("rep").alias("id"), F.explode("x.bands").alias("key"))
     sizes = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    places = scratch.keep(places.join(sizes, "key").select("key", "id", "n"))
+    places = scratch.keep(places.join(sizes.hint("merge"), "key").select("key", "id", "n"))
     weight = scratch.keep(places.groupBy("id").agg(F.sum("n").alias("weight")))
-    ids = weight.select("id")
-    sigs = scratch.keep(seen.select("id", "sig").join(ids, "id", "left_semi"))
+    ids = weight.select("id").hint("merge")
+    sigs = scratch.keep(classes.select(F.col("rep").alias("id"), "x.sig").join(ids, "id", "left_semi"))
     texts = scratch.keep(docs.join(ids, "id", "left_semi"))
-    ranked = scratch.keep(places.join(weight, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("minus")).alias("rank")))
-    scratch.drop(places)
-    rows, links, tested = ranked, same_id, None
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        """Components after the links among new candidate pairs."""
-        nonlocal links, tested
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        links = links.unionByName(scratch.keep(_confirmed(scratch.keep(_survivors(pairs, sigs)), texts)))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        return scratch.keep(components(links, scratch))
-
-    def unsettled(rows: DataFrame, roots: DataFrame, done: int) -> DataFrame:
-        """What is left of each bucket: members not yet compared with all, if they are in more than one component."""
-        rows = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).where(F.col("place") > done)
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return scratch.keep(rows.join(mixed, "key", "left_semi"))
-
-    pivots = rows.groupBy("key").agg(F.max("rank").alias("top")).select("key", (-F.col("top.minus")).alias("a"))
-    roots = joined(rows.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    rows = unsettled(rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("rank")))), roots, 1)
-    chosen = rows.where(F.col("place") <= 1 + PIVOTS).select("key", F.col("id").alias("a"), F.col("place").alias("at"), F.col("root").alias("own"))
-    roots = joined(rows.join(chosen, "key").where("place > at and root <> own").select("a", F.col("id").alias("b")).distinct())
-    rows = unsettled(rows, roots, 1 + PIVOTS)
-    roots = joined(_sharing_rare(rows.select("id", "root").distinct(), texts, scratch))
-    out = belongs.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    # all pairs of small buckets, each member of larger ones with its pivot
+    small = places.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    rest = lambda i: F.slice("ids", i + 2, F.size("ids") - i - 1)
+    small = small.select(F.explode(F.transform(F.slice("ids", 1, F.size("ids") - 1), lambda x, i: F.struct(x.alias("a"), rest(i).alias("bs")))).alias("p"))
+    small = small.select("p.a", F.explode("p.bs").alias("b"))
+    large = scratch.keep(places.where(F.col("n") > SMALL).join(weight.hint("merge"), "id").select("key", "id", "weight"))
+    pivots = large.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("a"))
+    star = large.join(pivots.hint("merge"), "key").select("a", F.col("id").alias("b"))
+    pairs = small.unionByName(star).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = scratch.keep(_confirmed(scratch.keep(_survivors(pairs, sigs)), texts))
+    roots = scratch.keep(components(links.unionByName(same_id), scratch))
+    # members of larger buckets that hold several components
+    large = large.select("key", "id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = scratch.keep(large.join(mixed.hint("merge"), "key", "left_semi").select("id", "root").distinct())
+    if members.limit(1).count():
+        pairs = _survivors(_sharing_rare(members, texts, scratch), sigs)
+        found = scratch.keep(_confirmed(scratch.keep(pairs), texts))
+        if found.limit(1).count():
+            own = roots.select("node", "root")
+            for end in ("a", "b"):  # the components so far are the nodes of what is left to join
+                found = found.join(own.withColumnRenamed("node", end).hint("merge"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+            more = scratch.keep(components(found, scratch))
+            up = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = own.join(up.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            roots = scratch.keep(roots.unionByName(more.select("node", "root").join(own.select("node").hint("merge"), "node", "left_anti")))
+    out = belongs.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
@@ -263,6 +267,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Links of the few documents at hand, by all their common shingles; components as all that can be reached.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM places
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met.n >= 75 * (x.n + y.n - met.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least l ON l.a = d.doc_id
+"""
+
+
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document of the least id stays."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_neardup": neardup.query,
 }
 
-ORACLES: dict[str, str] = {"op5_lines": lines.SQL}
+ORACLES: dict[str, str] = {"op5_lines": lines.SQL, "op6_substring": substring.SQL, "op10_neardup": neardup.SQL}

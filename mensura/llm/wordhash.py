@@ -1,16 +1,23 @@
-"""64-bit hashes of the words of many texts at once, and of runs of words, in numpy."""
+"""128-bit digests of the words of many texts at once, in two lanes of 64 bits, and of runs of words, in numpy.
+
+A lane takes a word's length and then its bytes eight at a time, each step mixed, so that no regular pattern of letters
+cancels out; long words go by BLAKE2b. A run's lanes are put together by doubling: each step adds two neighbours under odd
+factors of its own lane and mixes the sum.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
 #: Bytes 9 to 13 and 32 part words.
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BASE = 0x9E3779B97F4A7C15
 GROUP = 1 << 18  # bytes of texts hashed at once
+LONG_WORD = 64  # bytes
+_FACTORS = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xF1357AEA2E62A9C5))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,46 +27,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-@lru_cache(4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(n: int, base: int) -> np.ndarray:
-    return _powers(max(1 << 12, 1 << (n - 1).bit_length()), base)[:n]
-
-
-def run_sums(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """For each range the sum of x[i] * base**(i - start), modulo 2**64."""
-    inverse = pow(base, -1, 1 << 64)
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * powers(len(x), base), out=total[1:])
-    return (total[ends] - total[starts]) * powers(len(x) + 1, inverse)[starts]
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Hash, start and end of each word of the texts joined by spaces, the words in each text, and the joined texts."""
-    data = b" ".join(texts)
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of the texts one after the other (two rows, the lanes), and the number of words of each text."""
+    data = b" ".join(texts) + b" " * 8
     raw = np.frombuffer(data, np.uint8)
-    white = np.ones(len(raw) + 2, bool)
-    white[1:-1] = _WHITE[raw]
+    white = np.ones(len(raw) + 1, bool)
+    white[1:] = _WHITE[raw]
     edge = np.flatnonzero(white[1:] != white[:-1])
     starts, ends = edge[::2], edge[1::2]
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    n = np.diff(np.searchsorted(starts, stops), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends, n, data
-    return mix(run_sums(_BYTES[raw], starts, ends) + (ends - starts).astype(np.uint64)), starts, ends, n, data
-
-
-def runs(hashes: np.ndarray, starts: np.ndarray, length: int | np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hashes of runs of words that begin at the given words."""
-    return mix(run_sums(hashes, starts, starts + length, 0xD1342543DE82EF95) + np.uint64(seed))
+    counts = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+    size = ends - starts
+    eight = np.ndarray((len(raw) - 7,), "<u8", data, strides=(1,))
+    lanes = np.stack([mix(size.astype(np.uint64) + np.uint64(seed)) for seed in (1 << 32, 1 << 33)])
+    on = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        on = on[size[on] > at]
+        chunk = eight[starts[on] + at] & _FIRST_BYTES[np.minimum(size[on] - at, 8)]
+        for lane in (0, 1):
+            lanes[lane, on] = pair(lanes[lane, on], chunk, lane)
+    for i in np.flatnonzero(size > LONG_WORD):
+        lanes[:, i] = np.frombuffer(blake2b(data[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
+    return lanes, counts
+
+
+def pair(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """One value for two in order."""
+    x, y = _FACTORS[lane]
+    return mix(a * np.uint64(x) + b * np.uint64(y))
+
+
+def runs(lane: np.ndarray, length: int, number: int = 0) -> np.ndarray:
+    """For one lane (of that number) a value for every ``length`` consecutive words; those that cross texts are the caller's
+    to leave out."""
+    if len(lane) < length:
+        return np.zeros(0, np.uint64)
+    out, done = lane, 1
+    while 2 * done <= length:
+        out, done = pair(out[:-done], out[done:], number), 2 * done
+    more = length - done  # two runs that overlap say as much as one
+    return pair(out[: len(out) - more], out[more:], number) if more else out
+
+
+def whole(lane: np.ndarray, starts: np.ndarray, counts: np.ndarray, number: int = 0) -> np.ndarray:
+    """For one lane a value for each short text as a whole; it differs from all values of ``runs``."""
+    out = mix(counts.astype(np.uint64))
+    for j in range(int(counts.max(initial=0))):
+        here = counts > j
+        out[here] = pair(out[here], lane[starts[here] + j], number)
+    return out
 
 
 def groups(texts: list[bytes], most: int = GROUP):

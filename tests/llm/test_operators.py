@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mensura.llm import boost, chat, jpeg, langid, lines, media, nearest, neardup, packing, pieces, pii, substring
+from mensura.llm import boost, chat, jpeg, langid, lines, media, nearest, neardup, packing, pieces, pii, substring, wordhash
 from mensura.llm.common import Scratch, release_scratch
 from mensura.llm.components import components
 
@@ -202,6 +202,26 @@ def test_substring(spark, docs, none, rows, hot, monkeypatch):
     release_scratch()
 
 
+def test_substring_batches_from_day_to_day(spark, docs, rows, tmp_path):
+    """Three batches through an index that is opened anew each time give what one run gives."""
+    want = Counter((r["doc_id"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(docs, batches=1).collect())
+    keyed = substring._keyed(docs, "doc_id", "text").withColumn("day", F.pmod(F.xxhash64("kid", "kt"), F.lit(4)))
+    root = f"file://{tmp_path}/index"
+    for day in range(4):
+        index = substring.FingerprintIndex(spark, root)
+        assert len(index.tables["run"]) <= substring.FANOUT
+        index.append(keyed.where(F.col("day") == day).drop("day"))
+        index.close()
+    index = substring.FingerprintIndex(spark, root)
+    assert Counter((r["doc_id"], r["n_removed"], r["kept"]) for r in substring.clean(docs, index).collect()) == want
+    # documents that come later are judged against all that came before
+    late = spark.createDataFrame([(9001, next(r[1] for r in rows if r[1] and len(r[1]) > 20_000)[:3000])], "doc_id long, text string")
+    (row,) = substring.remove_repeats(late, batches=1, index=index).collect()
+    assert row["n_removed"] > 300
+    index.close()
+    release_scratch()
+
+
 def test_packing(spark, docs, none, rows):
     from tokenizers import Tokenizer
 
@@ -338,6 +358,41 @@ def test_near_duplicates(spark, docs, none, rows):
     release_scratch()
 
 
+def thue_morse(n):
+    """A word over two letters and the same with the letters swapped; hashes that are polynomials of the letters collide."""
+    w = [0]
+    while len(w) < n:
+        w += [1 - x for x in w]
+    return "".join("ab"[x] for x in w), "".join("ba"[x] for x in w)
+
+
+@pytest.mark.parametrize("n", [1024, 64, 32])
+def test_words_that_polynomials_confuse(spark, n):
+    x, y = thue_morse(n)
+    tail = " ".join(f"t{i}" for i in range(34))
+    mixed = [" ".join(x[i : i + 1] for i in range(n)), " ".join(y[i : i + 1] for i in range(n))]  # as words, too
+    texts = [x, y, f"{x} {tail}", f"{y} {tail}"]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()}
+    assert got[0] == 0 and got[1] == 1 and got[2] == got[3]
+    assert all(r["n_removed"] == 0 for r in substring.remove_repeats(frame).collect())
+    a, b = (next(neardup.shingle_sets([t.encode()])) for t in mixed)
+    words = [t.split() for t in mixed]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    assert a.shape[1] == len(sets[0]) and len(set(zip(*a.tolist(), strict=True)) & set(zip(*b.tolist(), strict=True))) == len(sets[0] & sets[1])
+
+
+def test_word_digests_differ():
+    rng = random.Random(1)
+    words = {bytes(rng.randrange(1, 4) for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))).translate(bytes.maketrans(b"\1\2\3", b"\0ab")) for _ in range(20_000)}
+    own = sorted(words)
+    lanes, counts = wordhash.words(own)
+    assert counts.tolist() == [1] * len(own)
+    assert len(set(lanes[0].tolist())) == len(set(lanes[1].tolist())) == len(own)
+    again, _ = wordhash.words([b" ".join(own)])
+    assert (again == lanes).all()
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(7, 7), (None, 1)]
