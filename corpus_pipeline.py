@@ -8,15 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mensura.llm import langid, lines, neardup, packing, pii
-from mensura.llm.common import Scratch, release_scratch, table
+from mensura.llm.common import Scratch, table
+
+_left: list[Scratch] = []  # what earlier stages of this pipeline have left in the shared folder
 
 
 def _alone(stage):
-    """A stage that first removes what earlier ones left in the shared folder; their results have been written by then."""
+    """A stage that first removes what earlier stages left in the shared folder; their results have been written by then."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release_scratch()
-        return stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir)
+        while _left:
+            _left.pop().close()
+        before = list(Scratch.open)
+        try:
+            return stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir)
+        finally:
+            _left.extend(s for s in Scratch.open if s not in before)
 
     return run_stage
 
@@ -46,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if kept is not None:
             old = kept
         if i < len(STAGES) - 1:
-            kept = Scratch(spark, "pipeline", owned=True)
+            kept = Scratch(spark, "pipeline")
             docs = kept.keep(docs)
             if i:
                 old.close()
