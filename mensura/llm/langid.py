@@ -21,18 +21,20 @@ from pyspark.sql import types as T
 from .common import arrow_limits, table, with_columns_after
 
 UNKNOWN = "und"
-TRAIN_DOCS = 20_000  # labelled documents to fit on, at most in expectation
-WORDS = 100_000  # words kept, the most frequent
-GRAMS = 60_000  # n-grams kept, the most frequent
+TRAIN_DOCS = 5_000  # labelled documents to fit on, at most in expectation; the model holds all their words and n-grams
 LONGEST = 4
 SMOOTH = 0.5
 MEMO = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # numerals that aren't decimal digits are in it, too
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case."""
+    found = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
+    return found
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -129,17 +131,18 @@ def _counted(df: DataFrame, text: str, lang: str, split) -> DataFrame:
     return df.select(lang, text).mapInArrow(run, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _pair_counts(counts: DataFrame, langs: list[str], most: int, by=None) -> dict[str, list[int]]:
-    total = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = total.orderBy(F.desc("all"), "gram").limit(most)
-    return {r["gram"]: [r["by"].get(x, 0) for x in langs] for r in kept.toLocalIterator()}
+def _pair_counts(counts: DataFrame, langs: list[str]) -> dict[str, list[int]]:
+    """All counts of a bounded sample, by entry."""
+    total = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    return {r["gram"]: [r["by"].get(x, 0) for x in langs] for r in total.orderBy("gram").toLocalIterator()}
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """A model of rows with a text and a language. ``labelled`` must hold only rows to learn from.
 
     A sample of ``train_docs`` rows in expectation is used, chosen by a hash of the text; texts that are equal are chosen
-    together. The model is bounded: ``WORDS`` words and ``GRAMS`` n-grams. Without rows the model knows no language.
+    together. The model has every word and every n-gram of up to four characters of the sample, so the sample's size bounds it.
+    Without rows the model knows no language.
     """
     arrow_limits(labelled.sparkSession)
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
@@ -149,7 +152,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_docs:
     counts = _counted(labelled, text, lang, words).persist()
     try:
         langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-        known = _pair_counts(counts, langs, WORDS)
+        known = _pair_counts(counts, langs)
         spread = counts.select("lang", "gram", "n")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", train_docs:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c]), pa.array([k[1] for k in c]), pa.array(c.values(), pa.int64())], names=_COUNTS.names)
 
         parts = spread.mapInArrow(run, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        return Model(langs, known, _pair_counts(parts, langs, GRAMS))
+        return Model(langs, known, _pair_counts(parts, langs))
     finally:
         counts.unpersist()
 
@@ -172,7 +175,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
     """Adds the predicted language and its posterior (0 to 1). A text that is null or has no letter is ``und`` with
     score 0, as is any text under a model without languages; equal posteriors go to the language first in order. Columns
     that bear the new names are replaced, all others pass through. Nothing is shuffled; the model is broadcast and of
-    bounded size."""
+    bounded size. Very long texts are scored a part at a time."""
     arrow_limits(df.sparkSession)
     df = with_columns_after(df, lang, score)
     schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])

@@ -10,6 +10,7 @@ and their pieces put together first-fit by falling length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -47,8 +48,30 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: The normaliser and the splitting of the tokenizer whose words are known to be apart.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def words_apart(model: str) -> bool:
+    """Whether a tokenizer file is known to drop white space, to let no token cross it, and to cut words as ``TokenTable``
+    does."""
+    with open(model, encoding="utf-8") as f:
+        d = json.load(f)
+    added = all(t["content"].startswith("<|") and len(t["content"].split()) == 1 and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in d.get("added_tokens", ()))
+    bpe = d["model"].get("type") == "BPE" and not d["model"].get("dropout")
+    return added and bpe and d.get("normalizer") == NORMALISER and d.get("pre_tokenizer") == SPLITTING
+
+
 class TokenTable:
-    """Ids of distinct space-free words. The tokenizer drops white space and lets no token cross it.
+    """Ids of distinct space-free words of a tokenizer that drops white space and lets no token cross it; of any other
+    tokenizer (see ``words_apart``) whole texts are encoded.
 
     A word of ASCII and accented Latin-1 letters is unchanged by the tokenizer's normaliser but for its case, so it is cut
     here by the tokenizer's own pattern and only the distinct parts are given to its BPE model; any other word goes through
@@ -62,6 +85,7 @@ class TokenTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
+        self.apart = words_apart(model)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
@@ -93,6 +117,8 @@ class TokenTable:
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids of a whole text."""
+        if not self.apart:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.encode().split()
         new = list(set(words).difference(self.ids))
         if new:
