@@ -12,11 +12,27 @@ PLAIN_TYPES = ("integer", "logical", "character")
 
 
 def innermost(points: DataFrame, ranges: DataFrame, key: list[str], at: str, name: str) -> DataFrame:
-    """For each point the name of the shortest range (start, end exclusive) around it, null outside all. The equal key
-    bounds what a point is compared with."""
-    joined = points.alias("p").join(ranges.alias("r"), [*[F.col(f"p.{k}") == F.col(f"r.{k}") for k in key], F.col("r.start") <= F.col(f"p.{at}"), F.col(f"p.{at}") < F.col("r.end")], "left")
-    own = [F.col(f"p.{c}").alias(c) for c in points.columns]
-    return joined.groupBy(*own).agg(F.min_by(F.col(f"r.{name}"), F.struct(F.col("r.end") - F.col("r.start"), F.col("r.start"))).alias(name))
+    """For each point the name of the shortest range (start, end exclusive) around it, null outside all; points of one place
+    are one. Places aren't negative.
+
+    A range is cut into aligned cells whose sizes are powers of two, at most two of each size, and a point looks up the cell
+    of each size that it lies in. So a point meets the ranges around it and no others."""
+    top = ranges.agg(F.max("end")).first()[0] or 1
+    size = max(1, int(top).bit_length())
+    lo = lambda k: F.shiftright(F.col("start").cast("long") + F.shiftleft(F.lit(1).cast("long"), k) - 1, k)
+    hi = lambda k: F.shiftright(F.col("end").cast("long"), k)
+    cells = []
+    for k in range(size + 1):
+        open_ = lo(k) < hi(k)
+        cells += [F.when(open_ & (lo(k) % 2 == 1), F.struct(F.lit(k).alias("size"), lo(k).alias("cell"))), F.when(open_ & (hi(k) % 2 == 1), F.struct(F.lit(k).alias("size"), (hi(k) - 1).alias("cell")))]
+    cut = ranges.select(*key, "start", "end", F.col(name).alias("_name"), F.explode(F.array_distinct(F.array_compact(F.array(*cells)))).alias("c"))
+    cut = cut.select(*key, "start", "end", "_name", "c.size", "c.cell")
+    own = list(dict.fromkeys([*key, at]))
+    places = points.select(*own).distinct()
+    looked = places.select(*own, F.explode(F.sequence(F.lit(0), F.lit(size))).alias("size")).withColumn("cell", F.expr(f"shiftright(cast({at} as bigint), size)"))
+    hit = looked.join(cut, [*key, "size", "cell"]).groupBy(*own).agg(F.min_by("_name", F.struct((F.col("end") - F.col("start")).alias("n"), F.col("start").alias("s"))).alias("_name"))
+    rest = [c for c in points.columns if c not in own]
+    return points.distinct().join(hit, own, "left").select(*own, *rest, F.col("_name").alias(name)).select(*points.columns, name)
 
 
 def attach(annotations: DataFrame, declared: DataFrame) -> dict[str, DataFrame]:
@@ -50,3 +66,8 @@ def attach(annotations: DataFrame, declared: DataFrame) -> dict[str, DataFrame]:
     plain = plain.join(owned, ["path", "decl_id", "name"], "left_anti")
     defaults = plain.select("path", "scope", "enclosing_type", "name", F.lit("1").alias("unit_text"), F.col("line_start").alias("line"), F.lit(0).alias("col"), "decl_id", F.lit("default").alias("origin"))
     return {"units": units, "orphans": orphans, "multi_line": multi, "left_out": left, "defaults": defaults}
+
+
+def unannotated(used: DataFrame, annotated: DataFrame, key: list[str]) -> DataFrame:
+    """What is used but has no unit."""
+    return used.join(annotated.select(*key).distinct(), key, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,20 @@ def split_by_cache(rows: DataFrame, cache: DataFrame, key: str = "key") -> tuple
 
 
 def dirty(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """Dependents (dependent, module, digest) of which a module's digest changed or that miss it."""
+    """(dependent, reason): dependents (dependent, module, digest) of which a module's digest changed or that miss it; a
+    missing one counts before a changed one."""
     j = stored.join(current.withColumnRenamed("digest", "_now"), "module", "left")
-    return j.where(F.coalesce("_now", F.lit("absent")) != F.coalesce("digest", F.lit("absent"))).select("dependent").distinct()
+    why = F.when(F.col("_now").isNull(), "absent").when(F.col("_now") != F.coalesce("digest", F.lit("")), "changed")
+    return j.select("dependent", why.alias("reason")).where("reason is not null").groupBy("dependent").agg(F.min("reason").alias("reason"))
+
+
+def digests(rows: DataFrame, key: list[str], item: Column) -> DataFrame:
+    """(key, digest): a digest of each key's items in whatever order: the number of items and the sums of two halves of each
+    one's SHA-256, put together before anything is shuffled. Null items count as empty."""
+    h = F.sha2(F.coalesce(item, F.lit("")).cast("binary"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    out = rows.groupBy(*key).agg(F.count("*").alias("_n"), part(1).alias("_x"), part(16).alias("_y"))
+    return out.select(*key, F.sha2(F.concat_ws(":", "_n", "_x", "_y").cast("binary"), 256).alias("digest"))
 
 
 def prune(rows: DataFrame, age: str, size: str, most: int, width: int = 1 << 16) -> DataFrame:

@@ -7,10 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import apart, bound, running
+
 #: What ends a line: the line feed and its relatives.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-#: The text before the first exclamation mark outside quotes; it doesn't match if a quote stays open.
-BEFORE_COMMENT = r"""^((?:[^!'"]|'[^']*'|"[^"]*")*)!"""
+#: The text before the first exclamation mark outside quotes; it doesn't match if a quote stays open. It gives nothing back, so
+#: that long lines need no stack.
+BEFORE_COMMENT = r"""^((?:[^!'"]++|'[^']*+'|"[^"]*+")*+)!"""
 
 
 def quoted(s: str) -> str:
@@ -49,27 +52,18 @@ def capture_spans(text: Column, opening: str, closing: str) -> Column:
     pattern = f"(?s){quoted(opening)}(.*?){quoted(closing)}"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    return F.aggregate(
-        F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,body:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(
-                a["out"],
-                F.struct(
-                    (a["at"] + F.length(x["gap"])).alias("start"),
-                    (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                    F.substr(x["hit"], F.lit(len(opening) + 1), F.length(x["hit"]) - len(opening) - len(closing)).alias("body"),
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    zipped = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+
+    def places(z: Column, ends: Column) -> Column:
+        body = lambda x: F.substr(x["hit"], F.lit(len(opening) + 1), F.length(x["hit"]) - len(opening) - len(closing))
+        return F.transform(z, lambda x, i: F.struct((F.get(ends, i) - F.length(x["hit"])).alias("start"), F.get(ends, i).alias("end"), body(x).alias("body")))
+
+    return bound(zipped, lambda z: bound(running(F.transform(z, lambda x: F.length(x["gap"]) + F.length(x["hit"]))), lambda ends: places(z, ends)))
 
 
 def outside(spans: Column, dead: Column) -> Column:
     """The spans that overlap none of the dead ones."""
-    return F.filter(spans, lambda s: ~F.exists(dead, lambda d: (s["start"] < d["end"]) & (d["start"] < s["end"])))
+    return apart(spans, dead)
 
 
 def by_priority(rows: DataFrame, key: list[str], rank: str, value: str) -> DataFrame:

@@ -44,6 +44,44 @@ def verdict(dim_a: Column, factor_a: Column, offset_a: Column, dim_b: Column, fa
     )
 
 
+def equal_dim(dim_a: Column, dim_b: Column) -> Column:
+    return dim_a == dim_b
+
+
+def equal_strict(dim_a: Column, factor_a: Column, offset_a: Column, dim_b: Column, factor_b: Column, offset_b: Column) -> Column:
+    return (dim_a == dim_b) & (factor_a == factor_b) & (offset_a == offset_b)
+
+
+def dimension_faults(rows: DataFrame, found: str, wanted: str, catalog: DataFrame) -> DataFrame:
+    """The rows whose two units are known and differ in dimension, with ``code``."""
+    both = resolve(resolve(rows, found, catalog, "_a_"), wanted, catalog, "_b_")
+    out = both.where(~equal_dim(F.col("_a_dim"), F.col("_b_dim")))
+    return out.select(*rows.columns, F.lit("H001").alias("code"))
+
+
+def scale_pairs(rows: DataFrame, key: str, unit: str, catalog: DataFrame) -> DataFrame:
+    """(unit_a, unit_b, ratio, n): pairs of units of one dimension but other factors that meet in a key, and how often. A key
+    holds at most the catalogue's units, so they are held in one row and no rows of a key are joined."""
+    known = resolve(rows.select(key, unit).distinct(), unit, catalog).where("dim is not null")
+    held = known.groupBy(key).agg(F.collect_set(F.struct(F.col(unit).alias("unit"), "dim", F.col("factor_value").alias("f"))).alias("u"))
+    pairs = held.select(F.explode("u").alias("a"), "u").select("a", F.explode("u").alias("b"))
+    pairs = pairs.where(equal_dim(F.col("a.dim"), F.col("b.dim")) & (F.col("a.unit") < F.col("b.unit")) & (F.col("a.f") != F.col("b.f")))
+    return pairs.groupBy(F.col("a.unit").alias("unit_a"), F.col("b.unit").alias("unit_b"), (F.col("a.f") / F.col("b.f")).alias("ratio")).agg(F.count("*").alias("n"))
+
+
+def conversion_verdict(slope: Column, shift: Column, factor: Column, offset: Column, to_factor: Column, to_offset: Column) -> Column:
+    """Whether ``x * slope + shift`` takes values of one unit to the other: slope = factor / to_factor and
+    shift = (offset - to_offset) / to_factor."""
+    return F.when((slope == factor / to_factor) & (shift == (offset - to_offset) / to_factor), "holds").otherwise("S003")
+
+
+def collisions(prefixes: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, n_ways): names that can be read in more than one way, as prefix (prefix) and unit (unit) or as one that is known
+    (name). The product of the prefixes, some twenty, and the few units that take them."""
+    made = prefixes.crossJoin(F.broadcast(names)).select(F.concat("prefix", "unit").alias("name"))
+    return made.unionByName(known.select("name")).groupBy("name").agg(F.count("*").alias("n_ways")).where("n_ways > 1")
+
+
 def product(dim_a: Column, dim_b: Column, sign: int = 1) -> Column:
     """The dimension of a product or quotient."""
     return F.zip_with(dim_a, dim_b, lambda x, y: x + y * sign)

@@ -26,3 +26,8 @@ def figures(status: DataFrame, key: list[str], total: str | None = None) -> Data
     )
     seen = F.col("ok") + F.col("warn") + F.col("fire")
     return out.withColumn("pct", F.when(seen == 0, F.lit(0.0)).otherwise(F.bround(F.col("ok") / seen * 100, 1)))
+
+
+def code_counts(diagnostics: DataFrame, key: list[str]) -> DataFrame:
+    """Findings about units that don't go together (H) and about annotations (U), for each key."""
+    return diagnostics.groupBy(*key).agg(F.count_if(F.col("code").startswith("H")).alias("n_h"), F.count_if(F.col("code").startswith("U")).alias("n_u"))

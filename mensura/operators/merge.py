@@ -42,3 +42,14 @@ def capped(rows: DataFrame, pinned: str, order: str, cap: int) -> DataFrame:
 def latest(rows: DataFrame, key: list[str], version: str, values: list[str]) -> DataFrame:
     """The newest version of each key."""
     return rows.groupBy(*key).agg(F.max(F.struct(version, *values)).alias("_last")).select(*key, *[F.col(f"_last.{v}").alias(v) for v in (version, *values)])
+
+
+def in_both(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``a`` whose key ``b`` has, too."""
+    return a.join(b.select(*key).distinct(), key, "left_semi").select(*a.columns)
+
+
+def in_one(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that only one of the two has, with ``side``, left or right."""
+    own = lambda x, y, side: x.select(*key).distinct().join(y.select(*key).distinct(), key, "left_anti").withColumn("side", F.lit(side))
+    return own(a, b, "left").unionByName(own(b, a, "right"))

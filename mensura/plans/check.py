@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import attach as attaching
-from ..operators import coverage, merge
-from ..shared import keeper
-from ..sources import comments, fortran
+from ..operators import coverage, imports, merge
+from ..operators.cache import split_by_cache
+from ..shared import Keeper, keeper
+from ..sources import comments, fortran, preprocess
 from ..settings import Settings
 from ..units import Quantity, UnitFault
 from .typing import SEVERITY, Environment, Signature, Typer
@@ -26,7 +27,7 @@ FACT = T.StructType(
 FOUND = T.StructType(
     [T.StructField(n, _TEXT) for n in ("path", "what")]
     + [T.StructField(n, _INT) for n in ("sl", "sc", "el", "ec")]
-    + [T.StructField(n, _TEXT) for n in ("code", "rule", "message", "suggestion", "name", "scope", "kind", "unit")]
+    + [T.StructField(n, _TEXT) for n in ("code", "rule", "message", "suggestion", "name", "scope", "kind", "unit", "factor")]
 )
 
 
@@ -60,6 +61,11 @@ def file_facts(path: str, text: str, settings: Settings) -> Iterator[tuple]:
             yield fact("argument", a, s.name, type=s.kind, number=i)
         if s.result:
             yield fact("argument", s.result, s.name, type="result", number=-1)
+    for scope in sorted(s for s in src.private if s):
+        yield fact("access", None, scope, type="hidden")
+    for kind, names in (("hidden", src.hidden), ("shown", src.shown)):
+        for scope, name in sorted((s or "", n) for s, n in names):
+            yield fact("access", name, scope, type=kind)
     for u in src.uses:
         if u.only is None:
             yield fact("use", u.module, u.scope, line=u.line, type="all")
@@ -75,6 +81,46 @@ def file_facts(path: str, text: str, settings: Settings) -> Iterator[tuple]:
         yield fact("call", c)
 
 
+def preprocessed(sources: DataFrame, settings: Settings, headers: DataFrame | None, keep) -> DataFrame:
+    """Sources (path, text) after the preprocessor, and ``came``: the line that each line came from, null for texts that stay
+    as they are. Preprocessed are texts that ``preprocess.needed`` names and that aren't edited; what they include, directly
+    or not, is joined to them from ``headers`` (name, text)."""
+    spark = sources.sparkSession
+    edited = F.coalesce("edited", F.lit(False)) if "edited" in sources.columns else F.lit(False)
+    rows = sources.select("path", "text", (F.col("text").rlike(r"(?m)^[ \t]*#") & F.col("path").rlike(r"\.F[^./]*$") & ~edited).alias("_todo"))
+    if not (settings.defines or settings.includes or headers is not None):
+        return rows.select("path", "text", F.lit(None).cast("array<int>").alias("came"))
+    names = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(preprocess.INCLUDE), F.lit(1)))).alias("b"))
+    if headers is None:
+        headers = spark.createDataFrame([], "name string, text string")
+    direct = keep(names(rows.where("_todo"), "path"))
+    inner = imports.closure(names(headers, "name").withColumnRenamed("name", "a"), keep).select(F.col("a").alias("b"), F.col("b").alias("c"))
+    every = direct.unionByName(direct.join(inner, "b").select("path", F.col("c").alias("b"))).distinct()
+    held = every.join(headers.select(F.col("name").alias("b"), F.col("text").alias("body")), "b").groupBy("path").agg(F.collect_list(F.struct("b", "body")).alias("held"))
+    defines = dict(settings.defines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, text, todo, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if todo:
+                    bodies = {x["b"]: x["body"] for x in held or ()}
+                    out.append((path, *preprocess.expand(text, defines, bodies.get)))
+                else:
+                    out.append((path, text, None))
+            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)], names=["path", "text", "came"])
+
+    return keep(rows.join(held, "path", "left").select("path", "text", "_todo", "held").mapInArrow(run, "path string, text string, came array<int>"))
+
+
+def at_source(df: DataFrame, came: DataFrame | None, *lines: str) -> DataFrame:
+    """Line columns of preprocessed files as lines of the files themselves. came: path, line, source."""
+    for line in lines if came is not None else ():
+        df = df.join(came.withColumnRenamed("line", line), ["path", line], "left").withColumn(line, F.coalesce("source", line)).drop("source")
+    return df
+
+
 def facts(sources: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +170,9 @@ def file_findings(path: str, text: str, env: Environment, settings: Settings) ->
     typer = Typer(src, notes, env, settings.scale)
     typer.run(settings.read)
     for f in sorted(typer.found, key=lambda f: (f.sl, f.sc, f.code, f.message)):
-        yield path, "finding", f.sl, f.sc, f.el, f.ec, f.code, f.rule, f.message, f.suggestion, None, None, None, None
+        yield path, "finding", f.sl, f.sc, f.el, f.ec, f.code, f.rule, f.message, f.suggestion, None, None, None, None, None
     for p in typer.points:
-        yield path, "point", p.line, p.col, p.line, p.col + len(p.name), None, None, None, None, p.name, p.scope, p.kind, p.unit
+        yield path, "point", p.line, p.col, p.line, p.col + len(p.name), None, None, None, None, p.name, p.scope, p.kind, p.unit, p.factor
 
 
 def _cached(env: DataFrame, run, cache: str, settings: Settings) -> DataFrame:
@@ -141,7 +187,7 @@ def _cached(env: DataFrame, run, cache: str, settings: Settings) -> DataFrame:
         old.isEmpty()
     except AnalysisException:
         old = spark.createDataFrame([], T.StructType([T.StructField("key", _TEXT), *FOUND.fields]))
-    fresh = env.join(old.select("key").distinct(), "key", "left_anti")
+    _, fresh = split_by_cache(env, old.select("key").distinct())
     made = fresh.drop("key").mapInArrow(run, FOUND)
     # a row for the file itself, so that files without findings are known, too
     mark = fresh.select("key", "path", F.lit("typed").alias("what"))
@@ -153,20 +199,30 @@ def _cached(env: DataFrame, run, cache: str, settings: Settings) -> DataFrame:
 
 @dataclass
 class Checked:
-    """Lazily joined results of a check. All frames have a ``path`` column."""
+    """Lazily joined results of a check. All frames have a ``path`` column. ``close`` removes what they are read from."""
 
     diagnostics: DataFrame  # path, sl, sc, el, ec, severity, code, rule, message, suggestion
-    points: DataFrame  # path, line, col, name, scope, kind, unit
+    points: DataFrame  # path, line, col, name, scope, kind, unit, factor
     units: DataFrame  # path, scope, owner, name, unit_text, line, col, origin
     facts: DataFrame
+    kept: Keeper | None = None
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.close()
 
 
-def check(sources: DataFrame, settings: Settings | None = None, cache: str | None = None) -> Checked:
+def check(sources: DataFrame, settings: Settings | None = None, cache: str | None = None, headers: DataFrame | None = None) -> Checked:
     """Checks all sources (path, text) together. Routines are known across files; a name of several files is taken from the
     first path. cache: a folder of earlier findings; a file is typed anew only if its text, what it gets from others or the
-    settings have changed."""
+    settings have changed. headers: (name, text) of what preprocessed files may include; where lines are told they are those
+    of the files before preprocessing."""
     spark, settings = sources.sparkSession, settings or Settings()
     keep = keeper(spark)
+    sources = preprocessed(sources, settings, headers, keep)
+    came = None
+    if settings.defines or settings.includes or headers is not None:
+        came = keep(sources.where("came is not null").select("path", F.posexplode("came").alias("line", "source")).select("path", (F.col("line") + 1).cast("int").alias("line"), "source"))
     all_facts = keep(facts(sources, settings))
     of = lambda kind: all_facts.where(F.col("fact") == kind)
     # PRE lines without a unit are part of a block, too
@@ -192,21 +248,25 @@ def check(sources: DataFrame, settings: Settings | None = None, cache: str | Non
     signatures = keep(slots.join(named, ["path", "routine", "arg"], "left").select("routine", F.col("arg").alias("name"), "slot", "unit_text"))
     # module exports and imports
     modules = of("scope").where("type = 'module'").select("path", F.col("name").alias("module"))
-    visible = of("name").where("a = 'shown'").select("path", F.col("scope").alias("module"), "name").distinct()
-    exports = plain.select("path", F.col("scope").alias("module"), "name", "unit_text").join(modules, ["path", "module"], "left_semi").join(visible, ["path", "module", "name"], "left_semi")
-    exports = keep(merge.first_wins(exports, ["module", "name"], ["path"], ["unit_text"]))
-    uses = of("use").select("path", F.col("name").alias("module"), "type", F.col("a").alias("local"), F.col("b").alias("remote"), "line")
-    one = uses.where("type = 'one'").join(exports.withColumnRenamed("name", "remote"), ["module", "remote"]).select("path", F.col("local").alias("name"), "unit_text")
+    first_module = merge.first_wins(modules, ["module"], ["path"], ["path"])
+    inside = of("name").where("owner is null").select("path", F.col("scope").alias("module"), "name").distinct().join(first_module, ["path", "module"], "left_semi")
+    with_unit = inside.join(plain.select("path", F.col("scope").alias("module"), "name", F.col("unit_text").alias("unit")), ["path", "module", "name"], "left")
+    uses = of("use").select("path", "scope", F.lower("name").alias("module"), "type", F.lower("a").alias("local"), F.lower("b").alias("remote"), "line")
+    passed_on = uses.join(first_module.select("path", F.col("module").alias("scope")), ["path", "scope"], "left_semi").withColumnRenamed("scope", "importer")
+    access = of("access").join(first_module.select("path", F.col("module").alias("scope")), ["path", "scope"], "left_semi").select(F.col("scope").alias("module"), "name", "type")
+    exports = imports.surfaces(with_unit.drop("path"), passed_on.drop("path"), access, keep).where("unit is not null").select("module", "name", "unit")
+    got_names, _ = imports.resolve(uses.where("type = 'one'").select(F.col("path").alias("importer"), "module", "local", "remote"), exports)
+    one = got_names.select(F.col("importer").alias("path"), F.col("local").alias("name"), F.col("unit").alias("unit_text"))
     renamed = uses.where("type = 'one'").select("path", "module", F.col("remote").alias("name"))
-    every = uses.where("type = 'all'").select("path", "module").distinct().join(exports, "module").join(renamed, ["path", "module", "name"], "left_anti").select("path", "name", "unit_text")
+    every = uses.where("type = 'all'").select("path", "module").distinct().join(exports, "module").join(renamed, ["path", "module", "name"], "left_anti").select("path", "name", F.col("unit").alias("unit_text"))
     imported = one.unionByName(every).groupBy("path", "name").agg(F.min("unit_text").alias("unit_text"))
     # each file with its environment
     wanted = of("call").select("path", F.col("name").alias("routine")).unionByName(of("scope").where("type in ('function', 'subroutine')").select("path", F.col("name").alias("routine"))).distinct()
     listed = lambda df, name, *cols: df.groupBy("path").agg(F.collect_list(F.struct(*cols)).alias(name))
-    env = sources.select("path", "text")
-    env = env.join(listed(own, "own", "scope", "owner", "name", "unit_text", "line", "col"), "path", "left")
-    env = env.join(listed(imported, "imported", "name", "unit_text"), "path", "left")
-    env = env.join(listed(wanted.join(signatures, "routine"), "routines", "routine", "name", "slot", "unit_text"), "path", "left")
+    lists = listed(own, "own", "scope", "owner", "name", "unit_text", "line", "col")
+    lists = lists.join(listed(imported, "imported", "name", "unit_text"), "path", "full")
+    lists = lists.join(listed(wanted.join(signatures, "routine"), "routines", "routine", "name", "slot", "unit_text"), "path", "full")
+    env = sources.select("path", "text").join(lists, "path", "left")  # the texts move once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,15 +302,24 @@ def check(sources: DataFrame, settings: Settings | None = None, cache: str | Non
     diagnostics = diagnostics.withColumn("severity", F.element_at(levels, F.col("code")))
     if settings.severities:
         diagnostics = merge.overridden(diagnostics, spark.createDataFrame(list(settings.severities.items()), "marker string, severity string"))
-    points = found.where("what = 'point'").select("path", F.col("sl").alias("line"), F.col("sc").alias("col"), "name", "scope", "kind", "unit")
-    return Checked(diagnostics, points, own, all_facts)
-
-
-def conflicts(points: DataFrame) -> DataFrame:
-    """X001: claims of one name in one scope of a file that differ from the first claim."""
+    points = found.where("what = 'point'").select("path", F.col("sl").alias("line"), F.col("sc").alias("col"), "name", "scope", "kind", "unit", "factor")
+    columns = diagnostics.columns
+    diagnostics = at_source(diagnostics, came, "sl", "el").select(*columns)
+    points, own = at_source(points, came, "line").select(*points.columns), at_source(own, came, "line").select(*own.columns)
+    if came is not None:
+        length = came.groupBy("path").agg(F.max("source").alias("source"))
+        all_facts = at_source(all_facts, came, "line", "line_end", "name_line").join(length, "path", "left")
+        all_facts = all_facts.withColumn("number", F.when((F.col("fact") == "file") & F.col("source").isNotNull(), F.col("source")).otherwise(F.col("number"))).select(*FACT.names)
+    return Checked(diagnostics, points, own, all_facts, keep)
+
+
+def conflicts(points: DataFrame, scale: bool = False) -> DataFrame:
+    """X001: claims of one name in one scope of a file that differ from the first claim in their unit, or, where scales
+    count, in its factor. Adds ``reference`` and ``reference_factor``, those of the first claim."""
     claims = points.where("unit is not null and kind <> 'uses'")
-    first = merge.first_wins(claims, ["path", "scope", "name"], ["line", "col"], ["unit"]).withColumnRenamed("unit", "reference")
-    return claims.join(first, ["path", "scope", "name"]).where("unit <> reference")
+    first = merge.first_wins(claims, ["path", "scope", "name"], ["line", "col"], ["unit", "factor"]).withColumnsRenamed({"unit": "reference", "factor": "reference_factor"})
+    differs = F.col("unit") != F.col("reference")
+    return claims.join(first, ["path", "scope", "name"]).where(differs | (F.lit(scale) & (F.col("factor") != F.col("reference_factor"))))
 
 
 #: Tiers of codes on a line; codes that aren't here leave a line as it is.
@@ -279,4 +348,4 @@ def coverage_figures(checked: Checked) -> DataFrame:
 
 
 def summary(checked: Checked) -> DataFrame:
-    return checked.diagnostics.groupBy("path").agg(F.count_if(F.col("code").startswith("H")).alias("n_h"), F.count_if(F.col("code").startswith("U")).alias("n_u"))
+    return coverage.code_counts(checked.diagnostics, ["path"])

@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attach, captures, catalog, coverage, imports, merge
-from ..units.catalog import DERIVED
+from ..functions.units import with_parsed
+from ..operators import attach, cache, captures, catalog, coverage, imports, merge
 from ..shared import keeper
+from ..streaming import edits
+from ..units.catalog import DERIVED, PREFIXES
+from . import lookup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,6 +112,7 @@ def q05(spark, d):
 
 # ---- the catalogue
 
+OTHER_NAMES = sorted({n for row in DERIVED for n in row[5].split()} - {row[0] for row in DERIVED})
 _VALUES = ", ".join(f"('{n}', '{dim}', {float(__import__('fractions').Fraction(f))!r}, {float(o)!r})" for n, dim, f, o, _, _ in DERIVED)
 _SLOT = lambda s: f"coalesce(list_sum(list_transform(list_filter(string_split(dim, '*'), lambda x: string_split(x, '^')[1] = '{s}'), lambda x: coalesce(TRY_CAST(string_split(x, '^')[2] AS BIGINT), 1))), 0)"
 _CAT = f"(SELECT unit, factor, off, [{', '.join(map(_SLOT, ('M', 'L', 'T', 'Theta', 'I', 'N', 'J')))}] AS v FROM (VALUES {_VALUES}) AS c(unit, dim, factor, off))"
@@ -145,12 +149,8 @@ def q07(spark, d):
 )
 def q08(spark, d):
     claim = F.element_at(F.array(*map(F.lit, ("Pa", "hPa", "min"))), F.col("l_linenumber") % 3 + 1)
-    rows = table(spark, d, "lineitem").select("l_orderkey", claim.alias("claim")).distinct()
-    rows = catalog.resolve(rows, "claim", catalog.catalog_frame(spark))
-    # units of an order in one row, so that pairs need no join
-    held = rows.groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("claim").alias("unit"), "dim", F.col("factor_value").alias("f"))).alias("u"))
-    pairs = held.select(F.explode("u").alias("a"), "u").select("a", F.explode("u").alias("b")).where("a.dim = b.dim and a.unit < b.unit and a.f <> b.f")
-    return pairs.groupBy(F.col("a.unit").alias("unit_a"), F.col("b.unit").alias("unit_b"), (F.col("a.f") / F.col("b.f")).alias("ratio")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", claim.alias("claim"))
+    return catalog.scale_pairs(rows, "l_orderkey", "claim", catalog.catalog_frame(spark))
 
 
 _EVENT_UNIT = "CASE CAST(e.user_id % 3 AS INT) WHEN 0 THEN 'N' WHEN 1 THEN 'J' ELSE 'W' END"
@@ -163,12 +163,11 @@ _EXPECTED = "CASE e.event_type WHEN 'click' THEN 'J' WHEN 'view' THEN 'W' WHEN '
     JOIN {_CAT} a ON a.unit = {_EVENT_UNIT} JOIN {_CAT} b ON b.unit = {_EXPECTED} WHERE a.v <> b.v GROUP BY 1, 2, 3""",
 )
 def q09(spark, d):
-    c = catalog.catalog_frame(spark)
     claim = F.element_at(F.array(*map(F.lit, "NJW")), (F.col("user_id") % 3 + 1).cast("int"))
     want = F.when(F.col("event_type") == "click", "J").when(F.col("event_type") == "view", "W").when(F.col("event_type") == "purchase", "N").otherwise("Hz")
     rows = table(spark, d, "events").select("event_type", claim.alias("claim"), want.alias("expected"))
-    rows = catalog.resolve(catalog.resolve(rows, "claim", c, "a_"), "expected", c, "b_")
-    return rows.where("a_dim <> b_dim").groupBy("event_type", "claim", "expected").agg(F.first(F.lit("H001")).alias("code"), F.count("*").alias("n"))
+    faults = catalog.dimension_faults(rows, "claim", "expected", catalog.catalog_frame(spark))
+    return faults.groupBy("event_type", "claim", "expected").agg(F.first("code").alias("code"), F.count("*").alias("n"))
 
 
 @query(
@@ -190,16 +189,21 @@ def q10(spark, d):
 
 @query(
     "q11_affine_law",
-    """SELECT CASE WHEN CAST(user_id % 4 AS INT) = 0 AND event_type = 'click' THEN 'holds' ELSE 'S003' END AS verdict, count(*) AS n FROM events GROUP BY 1""",
+    f"""SELECT CASE WHEN e.a = s.factor / t.factor AND e.b = (s.off - t.off) / t.factor THEN 'holds' ELSE 'S003' END AS verdict, count(*) AS n
+    FROM (SELECT CAST(user_id % 4 + 1 AS DOUBLE) AS a, CASE WHEN event_type = 'click' THEN 273.15::DOUBLE ELSE 0.0 END AS b, CASE WHEN user_id % 5 = 0 THEN 'hPa' ELSE 'degC' END AS src,
+      CASE WHEN user_id % 5 = 0 THEN 'Pa' ELSE 'K' END AS tgt FROM events) e
+    JOIN (SELECT unit, factor, off FROM {_CAT}) s ON s.unit = e.src
+    JOIN (SELECT unit, factor, off FROM {_CAT} UNION ALL VALUES ('K', 1.0, 0.0)) t ON t.unit = e.tgt GROUP BY 1""",
 )
 def q11(spark, d):
-    # a stated conversion from degC to K is t * 1 + 273.15; rows state a slope and a shift
+    # a stated conversion is a slope and a shift; from degC to K these are 1 and 273.15, from hPa to Pa 100 and 0
     slope, shift = (F.col("user_id") % 4 + 1).cast("double"), F.when(F.col("event_type") == "click", 273.15).otherwise(0.0)
-    rows = table(spark, d, "events").select(slope.alias("a"), shift.alias("b"), F.lit("degC").alias("src"), F.lit("K").alias("tgt"))
+    pressure = F.col("user_id") % 5 == 0
+    rows = table(spark, d, "events").select(slope.alias("a"), shift.alias("b"), F.when(pressure, "hPa").otherwise("degC").alias("src"), F.when(pressure, "Pa").otherwise("K").alias("tgt"))
     c = catalog.catalog_frame(spark)
     rows = catalog.resolve(catalog.resolve(rows, "src", c, "s_"), "tgt", c, "t_")
-    fits = (F.col("a") == F.col("s_factor_value") / F.col("t_factor_value")) & (F.col("b") == (F.col("s_offset_value") - F.col("t_offset_value")) / F.col("t_factor_value"))
-    return rows.groupBy(F.when(fits, "holds").otherwise("S003").alias("verdict")).agg(F.count("*").alias("n"))
+    stated = [F.col(x) for x in ("a", "b", "s_factor_value", "s_offset_value", "t_factor_value", "t_offset_value")]
+    return rows.groupBy(catalog.conversion_verdict(*stated).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 # ---- claims, tiers, summaries
@@ -251,7 +255,7 @@ def q14(spark, d):
 def q15(spark, d):
     code = F.when(F.col("event_type").isin("error", "purchase"), "H001").when(F.col("event_type").isin("view", "click"), "U005").otherwise("S001")
     rows = table(spark, d, "events").select("user_id", code.alias("code"))
-    return rows.groupBy("user_id").agg(F.count_if(F.col("code").startswith("H")).alias("n_h"), F.count_if(F.col("code").startswith("U")).alias("n_u"))
+    return coverage.code_counts(rows, ["user_id"])
 
 
 # ---- imports
@@ -293,7 +297,8 @@ def q18(spark, d):
     "SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY 1",
 )
 def q19(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return attach.unannotated(docs, table(spark, d, "labels"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -345,8 +350,10 @@ def q23(spark, d):
 )
 def q24(spark, d):
     keyed = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"))
-    return keyed.join(first, "key").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") > F.col("first")).alias("n_hits"))
+    # the cache holds what the first document of each content gave
+    kept = merge.first_wins(keyed.withColumn("first", F.col("doc_id")), ["key"], ["doc_id"], ["first"])
+    hits, _ = cache.split_by_cache(keyed, kept)
+    return hits.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") > F.col("first")).alias("n_hits"))
 
 
 @query(
@@ -356,11 +363,12 @@ def q24(spark, d):
 )
 def q25(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    stored = docs.select("doc_id", F.expr("doc_id div 2 + 3").alias("module"))
+    module = F.expr("doc_id div 2 + 3").alias("module")
     # a module's stored digest is its length, its present one differs for each seventh
-    now = docs.select(F.col("doc_id").alias("module"), F.col("n_chars").alias("stored"), (F.col("n_chars") + F.when(F.col("n_chars") % 7 == 0, 1).otherwise(0)).alias("current"))
-    j = stored.join(now, "module", "left").where("current is null or stored <> current")
-    return j.select("doc_id", F.when(F.col("current").isNull(), "absent").otherwise("changed").alias("reason"))
+    was = docs.select(F.col("doc_id").alias("module"), F.col("n_chars").cast("string").alias("digest"))
+    stored = docs.select(F.col("doc_id").alias("dependent"), module).join(was, "module", "left")
+    now = docs.select(F.col("doc_id").alias("module"), (F.col("n_chars") + F.when(F.col("n_chars") % 7 == 0, 1).otherwise(0)).cast("string").alias("digest"))
+    return cache.dirty(stored, now).select(F.col("dependent").alias("doc_id"), "reason")
 
 
 @query(
@@ -392,16 +400,20 @@ def q27(spark, d):
     SELECT n.n_name AS asked, s.name, s.line FROM nation n JOIN s ON s.path = n.n_nationkey WHERE s.name LIKE 'b%' AND EXISTS (SELECT 1 FROM supplier v WHERE v.s_nationkey = s.path AND v.s_acctbal > 5000)""",
 )
 def q28(spark, d):
-    sites = table(spark, d, "customer").select(F.lower("c_mktsegment").alias("name"), F.col("c_nationkey").alias("path"), F.col("c_custkey").alias("line")).where(F.col("name").startswith("b"))
+    sites = table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("path"), F.col("c_custkey").alias("line"))
     visible = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("path"))
     asked = table(spark, d, "nation").select(F.col("n_name").alias("asked"), F.col("n_nationkey").alias("path"))
-    return sites.join(visible, "path", "left_semi").join(asked, "path").select("asked", "name", "line")
+    found = lookup.in_reach(sites, F.when(F.lower("name").startswith("b"), F.lower("name")), visible)
+    return found.join(asked, "path").select("asked", F.lower("name").alias("name"), "line")
 
 
-@query("q29_superscripts", "SELECT p_size, 'm' || translate(CAST(p_size - 25 AS VARCHAR), '0123456789-', '⁰¹²³⁴⁵⁶⁷⁸⁹⁻') AS shown, count(*) AS n FROM part GROUP BY 1, 2")
+@query(
+    "q29_superscripts",
+    """SELECT p_size, CASE p_size - 25 WHEN 0 THEN '1' WHEN 1 THEN 'm' ELSE 'm' || translate(CAST(p_size - 25 AS VARCHAR), '0123456789-', '⁰¹²³⁴⁵⁶⁷⁸⁹⁻') END AS shown, count(*) AS n FROM part GROUP BY 1, 2""",
+)
 def q29(spark, d):
-    shown = F.concat(F.lit("m"), F.translate((F.col("p_size") - 25).cast("string"), "0123456789-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁻"))
-    return table(spark, d, "part").groupBy("p_size", shown.alias("shown")).agg(F.count("*").alias("n"))
+    sizes = table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n")).withColumn("text", F.concat(F.lit("m^("), F.col("p_size") - 25, F.lit(")")))
+    return with_parsed(sizes, "text").select("p_size", F.col("parsed.shown").alias("shown"), "n")
 
 
 @query(
@@ -419,9 +431,9 @@ def q34(spark, d):
     SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM s GROUP BY user_id, session""",
 )
 def q36(spark, d):
-    e = table(spark, d, "events").select("user_id", "ts", "event_id")
+    e = table(spark, d, "events").select(F.col("user_id").alias("uri"), F.col("event_id").alias("version"), "ts", F.col("event_type").alias("text"))
     # a session window holds an event that comes right at its end apart, the query's doesn't
-    return e.groupBy("user_id", F.session_window("ts", "6 hours 1 microsecond")).agg(F.max("event_id").alias("event_id"), F.count("*").alias("n")).drop("session_window")
+    return edits.debounced(e, "6 hours 1 microsecond").select(F.col("uri").alias("user_id"), F.col("version").alias("event_id"), F.col("n_edits").alias("n"))
 
 
 @query(
@@ -431,53 +443,107 @@ def q36(spark, d):
 )
 def q37(spark, d):
     c = catalog.catalog_frame(spark).where(F.col("unit").isin(*[r[0] for r in DERIVED]))
-    a = c.where("unit < 'H'").select(F.col("unit").alias("a"), F.col("dim").alias("x"), F.lit(1).alias("_one"))
-    b = c.where("unit > 'm'").select(F.col("unit").alias("b"), F.col("dim").alias("y"), F.lit(1).alias("_one"))
+    a = c.where("unit < 'H'").select(F.col("unit").alias("a"), F.col("dim").alias("x"))
+    b = c.where("unit > 'm'").select(F.col("unit").alias("b"), F.col("dim").alias("y"))
     text = lambda dim: F.array_join(dim.cast("array<string>"), ",")
     # two catalogues, some forty rows each
-    return a.join(F.broadcast(b), "_one").select("a", "b", text(catalog.product(F.col("x"), F.col("y"))).alias("product"), text(catalog.product(F.col("x"), F.col("y"), -1)).alias("quotient"))
+    return a.crossJoin(F.broadcast(b)).select("a", "b", text(catalog.product(F.col("x"), F.col("y"))).alias("product"), text(catalog.product(F.col("x"), F.col("y"), -1)).alias("quotient"))
 
 
 @query(
     "q38_prefix_collisions",
-    None,
+    f"""WITH p AS (SELECT unnest([{", ".join(f"'{p}'" for p in PREFIXES)}]) AS prefix), base AS (SELECT unnest(['m', 'g', 's', 'K', 'A', 'mol', 'cd', 'kg']) AS name),
+    own AS (SELECT unit AS name FROM {_CAT} UNION SELECT unnest([{", ".join(f"'{n}'" for n in OTHER_NAMES)}]) UNION SELECT name FROM base WHERE name <> 'g'),
+    made AS (SELECT prefix || unit AS name FROM p, (VALUES ('a'), ('m'), ('in'), ('t')) AS n(unit)),
+    known AS (SELECT name FROM own UNION SELECT prefix || name FROM p, base WHERE name <> 'kg')
+    SELECT name, count(*) AS n_ways FROM (SELECT name FROM made UNION ALL SELECT name FROM known) GROUP BY 1 HAVING count(*) > 1""",
 )
 def q38(spark, d):
-    """Names made by more than one prefix, in a catalogue where grams and tonnes take prefixes."""
-    p = spark.createDataFrame([(p,) for p in catalog.default_catalog().prefixes], "prefix string")
+    """Names made by more than one prefix, in a catalogue where years, inches and tonnes take prefixes."""
+    p = spark.createDataFrame([(p,) for p in PREFIXES], "prefix string")
     n = spark.createDataFrame([(n,) for n in ("a", "m", "in", "t")], "unit string")
-    made = p.join(F.broadcast(n), F.lit(True)).select(F.concat("prefix", "unit").alias("name"))
-    known = catalog.catalog_frame(spark).select(F.col("unit").alias("name"))
-    return made.unionByName(known).groupBy("name").agg(F.count("*").alias("n_ways")).where("n_ways > 1")
+    return catalog.collisions(p, n, catalog.catalog_frame(spark).select(F.col("unit").alias("name")))
 
 
 @query(
     "q39_module_digests",
-    "SELECT c_nationkey AS module, sha256(string_agg(c_custkey || ':' || c_mktsegment, ',' ORDER BY c_custkey)) AS digest FROM customer GROUP BY 1",
+    """SELECT c_nationkey AS module, sha256(count(*) || ':' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) || ':' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)::HUGEINT)) AS digest
+    FROM (SELECT c_nationkey, sha256(c_custkey || ':' || c_mktsegment) AS h FROM customer) GROUP BY 1""",
 )
 def q39(spark, d):
-    item = F.struct("c_custkey", F.concat_ws(":", "c_custkey", "c_mktsegment").alias("t"))
-    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("module")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return rows.select("module", F.sha2(F.array_join("items.t", ",").cast("binary"), 256).alias("digest"))
+    item = F.concat_ws(":", "c_custkey", "c_mktsegment")
+    return cache.digests(table(spark, d, "customer").withColumnRenamed("c_nationkey", "module"), ["module"], item)
 
 
 @query(
     "q40_cache_prune",
-    """SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id DESC) AS held FROM documents WHERE doc_id % 10 <> 3) WHERE held <= 500000""",
+    """SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id DESC) AS held FROM documents) WHERE held <= 500000""",
 )
 def q40(spark, d):
     """Newest first as long as the size limit holds; the running sum goes by ranges of ids, so that no task sees all rows."""
-    from ..operators.cache import prune
-
-    rows = table(spark, d, "documents").where("doc_id % 10 <> 3").select("doc_id", "n_chars")
-    return prune(rows, "doc_id", "n_chars", 500_000).select("doc_id")
+    return cache.prune(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 500_000).select("doc_id")
 
 
 @query(
     "q41_pre_blocks",
-    """SELECT path, line, max(line) OVER (PARTITION BY path, line - rn) AS block_end FROM
-    (SELECT user_id % 4 AS path, event_id AS line, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS rn FROM events WHERE event_type <> 'view')""",
+    """WITH days AS (SELECT DISTINCT user_id AS path, date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS line FROM events)
+    SELECT path, line, max(line) OVER (PARTITION BY path, line - rn) AS block_end FROM (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM days)""",
 )
 def q41(spark, d):
-    rows = table(spark, d, "events").where("event_type <> 'view'").select((F.col("user_id") % 4).alias("path"), F.col("event_id").alias("line"))
+    """Runs of days in a row on which a user was seen."""
+    day = F.datediff(F.col("ts"), F.lit("2000-01-01").cast("date")).cast("long")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("path"), day.alias("line")).distinct()
     return captures.islands(rows, ["path"], "line")
+
+
+@query(
+    "q45_shared_keys",
+    """SELECT 'both' AS side, CAST(count(*) AS BIGINT) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT side, count(*) FROM (SELECT 'left' AS side, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+      UNION ALL SELECT 'right', doc_id FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)) GROUP BY 1""",
+)
+def q45(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    both = merge.in_both(docs, labels, ["doc_id"]).select(F.lit("both").alias("side")).groupBy("side").agg(F.count("*").alias("n"))
+    return both.unionByName(merge.in_one(docs, labels, ["doc_id"]).groupBy("side").agg(F.count("*").alias("n")))
+
+
+@query(
+    "q46_reach",
+    f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT doc_id AS node FROM documents WHERE doc_id % 97 = 5 UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r",
+)
+def q46(spark, d):
+    """All that the start nodes (each ninety-seventh) reach; which nodes they are is the question, no row is left out."""
+    docs = table(spark, d, "documents").select("doc_id")
+    edges = docs.where("doc_id > 0").select(F.col("doc_id").alias("a"), F.expr("doc_id div 2").alias("b"))
+    return imports.reachable(edges, docs.where("doc_id % 97 = 5").select(F.col("doc_id").alias("node")), keeper(spark))
+
+
+@query(
+    "q47_load_order",
+    f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION ALL SELECT e.a, r.level + 1 FROM r JOIN e ON e.b = r.node),
+    l AS (SELECT node, CAST(max(level) AS BIGINT) AS level FROM r GROUP BY 1) SELECT node, level, row_number() OVER (ORDER BY level, node) AS place FROM l""",
+)
+def q47(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    edges = docs.where("doc_id > 0").select(F.col("doc_id").alias("a"), F.expr("doc_id div 2").alias("b"))
+    return imports.load_order(edges, docs.select(F.col("doc_id").alias("node")), keeper(spark)).select("node", big("level").alias("level"), big("place").alias("place"))
+
+
+@query(
+    "q48_passed_on",
+    """WITH RECURSIVE m AS (SELECT o_orderkey AS module, o_orderkey // 2 AS up, o_orderkey % 3 = 0 AS closed, 'n' || (o_orderkey % 7) AS name, 'u' || (o_orderkey % 5) AS unit FROM orders),
+    s AS (SELECT module, name, unit, module AS origin FROM m WHERE NOT closed
+      UNION ALL SELECT m.module, s.name, s.unit, s.origin FROM s JOIN m ON m.up = s.module AND m.module <> m.up WHERE NOT m.closed AND m.name <> s.name),
+    f AS (SELECT module, name, unit, origin, row_number() OVER (PARTITION BY module, name ORDER BY origin DESC) AS rn FROM s)
+    SELECT module, name, unit, origin FROM f WHERE rn = 1""",
+)
+def q48(spark, d):
+    """Order k is a module that uses order k div 2 and declares one name; each third offers nothing. The nearest module that
+    offers a name is the one it comes from."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    local = o.select(F.col("o_orderkey").alias("module"), F.concat(F.lit("n"), F.col("o_orderkey") % 7).alias("name"), F.concat(F.lit("u"), F.col("o_orderkey") % 5).alias("unit"))
+    none = F.lit(None).cast("string")
+    uses = o.select(F.col("o_orderkey").alias("importer"), F.expr("o_orderkey div 2").alias("module"), F.lit("all").alias("type"), none.alias("local"), none.alias("remote"), F.lit(1).alias("line"))
+    closed = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("module"), none.alias("name"), F.lit("hidden").alias("type"))
+    return imports.surfaces(local, uses.where("importer <> module"), closed, keeper(spark))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import imports
 from ..settings import Settings
+from ..shared import keeper
 from ..sources import comments, fortran
 from ..units import describe
 from .check import Checked
@@ -20,12 +22,18 @@ def definitions(checked: Checked, name: str, path: str) -> DataFrame:
     uses = facts.where("fact = 'use'").select("path", F.col("name").alias("module")).distinct()
     owner = facts.where("fact = 'scope' and type = 'module'").select(F.col("name").alias("module"), F.col("path").alias("to"))
     steps = uses.join(owner, "module").select("path", "to").where("path <> to").distinct()
-    seen = frontier = {path}
-    while frontier:  # files in reach of one file
-        new = {r["to"] for r in steps.where(F.col("path").isin(*frontier)).select("to").distinct().collect()} - seen
-        seen, frontier = seen | new, new
-    sites = facts.where((F.col("fact").isin("name", "scope")) & (F.lower("name") == name.lower()) & F.col("path").isin(*seen))
-    return sites.select("path", F.coalesce("name_line", "line").alias("line"), "col", "fact", "scope", "type").distinct().orderBy(F.col("path") != path, "path", "line")
+    keep = keeper(facts.sparkSession)
+    start = facts.sparkSession.createDataFrame([(path,)], "node string")
+    seen = imports.reachable(keep(steps.select(F.col("path").alias("a"), F.col("to").alias("b"))), start, keep).withColumnRenamed("node", "path")
+    sites = facts.where(F.col("fact").isin("name", "scope"))
+    found = in_reach(sites.select("path", "name", F.coalesce("name_line", "line").alias("line"), "col", "fact", "scope", "type"), name, seen)
+    return found.drop("name").distinct().orderBy(F.col("path") != path, "path", "line")
+
+
+def in_reach(sites: DataFrame, name: str | Column, reach: DataFrame) -> DataFrame:
+    """The sites (path, name) of a name, in whatever case, in the files (path) that can be seen."""
+    wanted = F.lower(F.lit(name)) if isinstance(name, str) else name
+    return sites.where(F.lower("name") == wanted).join(reach.select("path").distinct(), "path", "left_semi")
 
 
 def completions(prefix: str, line: str, col: int, settings: Settings | None = None) -> list[str]:
@@ -68,6 +76,40 @@ def expression_tree(text: str, line: int, env: Environment, settings: Settings |
     return out
 
 
+def imports_panel(checked: Checked, path: str) -> DataFrame:
+    """(module, name, remote, line): what a file's use clauses name one by one, and the clauses that bring all of a module."""
+    uses = checked.facts.where((F.col("fact") == "use") & (F.col("path") == path))
+    return uses.select(F.col("name").alias("module"), F.col("a").alias("name"), F.col("b").alias("remote"), F.col("type"), "line").orderBy("line", "name")
+
+
+def panel(checked: Checked, path: str) -> DataFrame:
+    """(scope, name, unit_text, origin, line): the names of a file with their units, scope by scope; those without a unit,
+    too."""
+    units = checked.units.where((F.col("path") == path) & F.col("owner").isNull()).select("scope", "name", "unit_text", "origin")
+    names = checked.facts.where((F.col("fact") == "name") & (F.col("path") == path) & F.col("owner").isNull()).select("scope", "name", F.col("name_line").alias("line")).distinct()
+    return names.alias("n").join(units.alias("u"), F.expr("n.scope <=> u.scope and n.name = u.name"), "left").select("n.scope", "n.name", "unit_text", "origin", "line").orderBy("scope", "line", "name")
+
+
+def inlays(checked: Checked, path: str, first: int, last: int) -> DataFrame:
+    """(line, col, label): the units to show behind names that lines use or set."""
+    own = checked.points.where((F.col("path") == path) & F.col("line").between(first, last) & (F.col("kind") != "declares") & F.col("unit").isNotNull())
+    return own.select("line", (F.col("col") + F.length("name")).alias("col"), F.concat(F.lit("["), "unit", F.lit("]")).alias("label")).distinct().orderBy("line", "col")
+
+
+def code_actions(checked: Checked, path: str, line: int) -> DataFrame:
+    """(code, title, insert): what would settle a line's findings: the spelling that was meant, or an annotation by what other
+    places say of a name."""
+    own = checked.diagnostics.where((F.col("path") == path) & (F.col("sl") == line))
+    meant = own.where("suggestion is not null").select("code", F.concat(F.lit("write "), "suggestion").alias("title"), F.col("suggestion").alias("insert"))
+    bare = own.where("code = 'U005'").select("code", "path", F.col("sl").alias("line"))
+    names = checked.facts.where("fact = 'name'").select("path", F.col("name_line").alias("line"), "name")
+    said = checked.points.where("unit is not null and kind in ('contributes', 'requires')").groupBy("path", "name").agg(F.min(F.struct("line", "unit")).alias("first"))
+    guessed = bare.join(names, ["path", "line"]).join(said, ["path", "name"]).select(
+        "code", F.concat(F.lit("give "), "name", F.lit(" the unit "), "first.unit").alias("title"), F.concat(F.lit("!< @unit{"), "first.unit", F.lit("}")).alias("insert")
+    )
+    return meant.unionByName(guessed)
+
+
 def hover(checked: Checked, path: str, line: int, col: int) -> DataFrame:
     """What is said at a place: the occurrences whose name covers it."""
     p = checked.points.where((F.col("path") == path) & (F.col("line") == line) & (F.col("col") <= col) & (F.col("col") + F.length("name") > col))

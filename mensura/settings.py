@@ -12,7 +12,7 @@ from .units import Catalog, Quantity, UnitFault, default_catalog, parse
 from .units.text import WIDENINGS
 
 FILE = "mensura.toml"
-VERSION = 1  # of the rules; findings kept by another aren't used
+VERSION = 2  # of the rules; findings kept by another aren't used
 
 
 @dataclass
@@ -27,12 +27,14 @@ class Settings:
     external: tuple[str, ...] = ()  # modules that needn't be there
     severities: dict[str, str] = field(default_factory=dict)  # by rule or code; "off" drops
     exclude: tuple[str, ...] = ()
+    defines: dict[str, str] = field(default_factory=dict)  # macros for sources that are preprocessed
+    includes: tuple[str, ...] = ()  # folders of what they include
     problem: str | None = None  # why the file couldn't be used
 
     @property
     def digest(self) -> str:
         """Of all that findings depend on."""
-        return hashlib.sha256(repr((VERSION, sorted(self.catalog.derived.items()), self.catalog.prefixes, self.allow, self.strip_tags, self.kept_tags, self.patterns, self.dead, self.scale)).encode()).hexdigest()
+        return hashlib.sha256(repr((VERSION, sorted(self.catalog.derived.items()), self.catalog.prefixes, self.allow, self.strip_tags, self.kept_tags, self.patterns, self.dead, self.scale, sorted(self.defines.items()))).encode()).hexdigest()
 
     def read(self, text: str) -> Quantity:
         return parse(text, self.catalog, self.allow, self.strip_tags, self.kept_tags).unit
@@ -50,6 +52,7 @@ def load(path: Path | None) -> Settings:
         raw = tomllib.loads(Path(path).read_text())
         units = raw.get("units", {})
         lexer = raw.get("lexer", {})
+        defines = raw.get("preprocess", {}).get("defines", {})
         if unknown := set(lexer) - set(WIDENINGS) - {"strip_tags", "kept_tags"}:
             raise UnitFault(f"unknown spellings: {', '.join(sorted(unknown))}")
         return Settings(
@@ -63,6 +66,8 @@ def load(path: Path | None) -> Settings:
             external=tuple(raw.get("external", ())),
             severities=dict(raw.get("severity", {})),
             exclude=tuple(raw.get("exclude", ())),
+            defines={str(k): str(v) for k, v in (defines.items() if isinstance(defines, dict) else [d.partition("=")[::2] for d in defines])},
+            includes=tuple(raw.get("preprocess", {}).get("includes", ())),
         )
     except (OSError, ValueError, TypeError) as e:
         return Settings(problem=str(e))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
+#: An include directive, for finding what a text includes.
+INCLUDE = r"(?m)^[ \t]*#[ \t]*include[ \t]+[\"<]([^\">\n]+)[\">]"
 _DIRECTIVE = re.compile(r"\s*#\s*(\w+)\s*(.*)")
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ import __spark_entry__ as entry
 from mensura.operators import attach, cache, captures, imports
 from mensura.plans import driver, unit_queries
 from mensura.shared import keeper
-from mensura.sources.files import read_sources, with_overrides
+from mensura.sources import comments
+from mensura.sources.files import glob_expression, outermost, read_headers, read_sources, with_overrides
 from mensura.streaming import edits
 
 SF = "/root/testdata/sf0.001"
@@ -28,24 +30,22 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(driver.ORACLES))
+ALL, SQL = driver.QUERIES | unit_queries.QUERIES, driver.ORACLES | unit_queries.ORACLES
+
+
+def test_every_query_has_sql():
+    assert set(ALL) == set(SQL)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    got, want = driver.QUERIES[name](spark, SF), duck.sql(driver.ORACLES[name])
+    got, want = ALL[name](spark, SF), duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     rows = lambda ds: sorted(tuple(repr(d[c]) for c in cols) for d in ds)
     assert rows(r.asDict() for r in got.collect()) == rows(dict(zip(want.columns, r, strict=True)) for r in want.fetchall())
 
 
-def test_unit_queries(spark):
-    d = {r["text"]: r for r in unit_queries.q31_parsed(spark, SF).collect()}
-    assert d["hPa"]["factor"] == "100" and d["LOG(Pa)"]["wraps"] == ["LOG"] and d["J/kg/K"]["ambiguous"]
-    t = {(r["op"], r["a"], r["b"]): (r["unit"], r["fault"]) for r in unit_queries.q32_truth_table(spark, SF).collect()}
-    assert t["+", "Pa", "K"] == (None, "D1.1") and t["*", "EXP(K)", "EXP(K)"][0] == "EXP(K)" and t["**", "m/s", "1"][0] == "m^2/s^2"
-    codes = [r["code"] for r in unit_queries.q35_check(spark, SF).collect()]
-    assert sorted(codes) == sorted(["U005", "H001", "H001", "H004", "H001", "H002", "H010", "H010", "H001", "H003"])
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
@@ -65,6 +65,51 @@ def test_lines_and_markers(spark):
     assert [r[0] for r in m] == ["POST", "PRE", "PRE", None, None]
 
 
+def test_long_lines(spark):
+    """Lines of a million characters: quoted, bare, with a comment at their end, in expressions and in Python."""
+    rows = [(1, "x" * 1_000_000 + "! c"), (2, "'a'" * 300_000 + "! c"), (3, "'!' " * 250_000), (4, "'" + "!" * 1_000_000), (5, "b" * 20_000 + '"!"!')]
+    got = {r["id"]: r["at"] for r in spark.createDataFrame(rows, "id int, line string").select("id", captures.comment_start(F.col("line")).alias("at")).collect()}
+    assert got == {1: 1_000_000, 2: 900_000, 3: None, 4: None, 5: 20_003}
+    assert {i: comments.comment_start(t) for i, t in rows} == got
+
+
+def test_long_texts_with_many_captures(spark):
+    n = 20_000
+    row = spark.createDataFrame([("é<p>a</p>" * n + "<b><p>x</p></b>",)], "t string").select(captures.capture_spans(F.col("t"), "<p>", "</p>").alias("p"), captures.capture_spans(F.col("t"), "<b>", "</b>").alias("b"))
+    got = row.select("p", captures.outside(F.col("p"), F.col("b")).alias("live")).first()
+    assert [(x["start"], x["end"], x["body"]) for x in got["p"][:3]] == [(1, 9, "a"), (10, 18, "a"), (19, 27, "a")] and len(got["p"]) == n + 1
+    assert got["live"] == got["p"][:-1]
+
+
+def test_chains_of_any_length(spark):
+    keep = keeper(spark)
+    n = 100
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a int, b int")
+    got = {(r["a"], r["b"]): r["depth"] for r in imports.closure(edges, keep).collect()}
+    assert got == {(i, j): j - i for i in range(n + 1) for j in range(i + 1, n + 1)}
+    assert imports.reachable(edges, spark.createDataFrame([(95,)], "node int"), keep).count() == 6
+    keep.close()
+
+
+def test_load_order_with_cycles(spark):
+    keep = keeper(spark)
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("w", "x"), ("d", "gone")], "a string, b string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdwxy"], "node string")
+    assert [r["node"] for r in imports.load_order(edges, nodes, keep).orderBy("place").collect()] == ["a", "d", "b", "c", "w", "x", "y"]
+
+
+def test_globs_and_roots(spark, tmp_path):
+    match = lambda pattern, path: re.search(glob_expression(pattern), path) is not None
+    assert match("old*", "/r/older/a.f90") and not match("old", "/r/older/a.f90") and match("src/**/x.f90", "/r/src/a/b/x.f90") and match("src/**/x.f90", "/r/src/x.f90")
+    assert match("m[0-3].f90", "/r/m2.f90") and not match("m[!0-3].f90", "/r/m2.f90") and match("a+b.f90", "/r/a+b.f90") and not match("*.f90", "/r/a.F90")
+    assert outermost(["/a/b", "/a", "/a/", "/ab", "x"]) == ["/a", "/ab", "x"]
+    (tmp_path / "inc" / "sub").mkdir(parents=True)
+    (tmp_path / "inc" / "sub" / "a.inc").write_text("one")
+    (tmp_path / "inc2" / "sub").mkdir(parents=True)
+    (tmp_path / "inc2" / "sub" / "a.inc").write_text("two")
+    assert [(r["name"], r["text"]) for r in read_headers(spark, [f"{tmp_path}/inc", f"{tmp_path}/inc2/"]).collect()] == [("sub/a.inc", "one")]
+
+
 def test_closure_and_levels_with_a_cycle(spark):
     keep = keeper(spark)
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "a int, b int")
