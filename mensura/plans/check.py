@@ -15,7 +15,7 @@ from ..operators import attach as attaching
 from ..operators import coverage, imports, merge
 from ..operators.cache import split_by_cache
 from ..shared import Keeper, keeper
-from ..sources import comments, fortran, preprocess
+from ..sources import fortran, preprocess
 from ..settings import Settings
 from ..units import Quantity, UnitFault
 from .typing import SEVERITY, Environment, Signature, Typer
@@ -40,7 +40,7 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 def file_facts(path: str, text: str, settings: Settings) -> Iterator[tuple]:
     """What one file says, as rows of FACT."""
     src = fortran.read(text)
-    notes = comments.scan(text, settings.patterns, settings.dead, frozenset(d.first for d in src.declarations))
+    notes = settings.comments(text, frozenset(d.first for d in src.declarations))
 
     def fact(kind, name=None, scope=None, owner=None, type=None, a=None, b=None, line=None, col=None, line_end=None, name_line=None, number=None):
         return path, kind, name, scope, owner, type, a, b, line, col, line_end, name_line, number
@@ -166,7 +166,7 @@ def environment(own: list, imported: list, routines: list, settings: Settings) -
 def file_findings(path: str, text: str, env: Environment, settings: Settings) -> Iterator[tuple]:
     """Typing of one file in its environment, as rows of FOUND."""
     src = fortran.read(text)
-    notes = comments.scan(text, settings.patterns, settings.dead, frozenset(d.first for d in src.declarations))
+    notes = settings.comments(text, frozenset(d.first for d in src.declarations))
     typer = Typer(src, notes, env, settings.scale)
     typer.run(settings.read)
     for f in sorted(typer.found, key=lambda f: (f.sl, f.sc, f.code, f.message)):

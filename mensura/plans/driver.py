@@ -436,6 +436,16 @@ def q36(spark, d):
     return edits.debounced(e, "6 hours 1 microsecond").select(F.col("uri").alias("user_id"), F.col("version").alias("event_id"), F.col("n_edits").alias("n"))
 
 
+@query(
+    "q51_throttled",
+    """WITH w AS (SELECT user_id, date_trunc('day', ts) AS day, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY 1, 2)
+    SELECT user_id, 'leading' AS edge, a AS event_id FROM w UNION ALL SELECT user_id, 'trailing', b FROM w WHERE a < b""",
+)
+def q51(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("uri"), F.col("event_id").alias("version"), "ts", F.col("event_type").alias("text"))
+    return edits.throttled(e, "1 day").select(F.col("uri").alias("user_id"), "edge", F.col("version").alias("event_id"))
+
+
 @query(
     "q37_products",
     f"""SELECT a.unit AS a, b.unit AS b, array_to_string(list_transform(range(1, 8), lambda i: a.v[i] + b.v[i]), ',') AS product,

@@ -51,7 +51,7 @@ def expression_tree(text: str, line: int, env: Environment, settings: Settings |
     all of it."""
     settings = settings or Settings()
     src = fortran.read(text)
-    notes = comments.scan(text, settings.patterns, settings.dead, frozenset(d.first for d in src.declarations))
+    notes = settings.comments(text, frozenset(d.first for d in src.declarations))
     typer = Typer(src, notes, env, settings.scale)
     typer.run(settings.read)
     inside = lambda f, n: (n.sl, n.sc) <= (f.sl, f.sc) and (f.el, f.ec) <= (n.el, n.ec)

@@ -12,21 +12,26 @@ _CODE = re.compile(r"""((?:[^!'"]|'[^']*'|"[^"]*")*)!""")
 
 @dataclass(frozen=True)
 class Pattern:
-    """Delimiters of a kind of capture."""
+    """Delimiters of a kind of capture; what parts its two halves, if it has two; and an expression that its stripped text
+    must match as a whole to count, if there is one."""
 
     opening: str
     closing: str = "}"
+    sep: str | None = None
+    regex: str | None = None
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         out, at = [], 0
         while (a := text.find(self.opening, at)) >= 0 and (b := text.find(self.closing, a + len(self.opening))) >= 0:
             at = b + len(self.closing)
-            out.append((a, at, text[a + len(self.opening) : b]))
+            inner = text[a + len(self.opening) : b]
+            if self.regex is None or re.fullmatch(self.regex, inner.strip()):
+                out.append((a, at, inner))
         return out
 
 
 UNIT = (Pattern("@unit{"),)
-ASSUME, AFFINE = Pattern("@unit_assume{"), Pattern("@unit_affine_conversion{")
+ASSUME, AFFINE = (Pattern("@unit_assume{", sep=":"),), (Pattern("@unit_affine_conversion{", sep="->"),)
 
 
 @dataclass
@@ -62,9 +67,12 @@ def comment_start(line: str) -> int | None:
     return len(m[1]) if m else None
 
 
-def scan(text: str, patterns: Iterable[Pattern] = UNIT, dead: Iterable[Pattern] = (), declared: frozenset[int] = frozenset()) -> Comments:
+def scan(
+    text: str, patterns: Iterable[Pattern] = UNIT, dead: Iterable[Pattern] = (), declared: frozenset[int] = frozenset(),
+    assumes: tuple[Pattern, ...] = ASSUME, conversions: tuple[Pattern, ...] = AFFINE,
+) -> Comments:
     """All annotations. patterns: the first that captures on a line wins; dead: captures that overlap these don't count;
-    declared: lines on which declarations begin, below which a plain comment counts as being about them."""
+    assumes, conversions: the directives' patterns; declared: lines on which declarations begin, below which a plain comment counts as being about them."""
     out = Comments()
     patterns = tuple(patterns)
     for number, line in enumerate(text.splitlines(), 1):
@@ -79,14 +87,15 @@ def scan(text: str, patterns: Iterable[Pattern] = UNIT, dead: Iterable[Pattern]
             continue  # prose
         gone = [(a, b) for d in dead for a, b, _ in d.spans(body)]
         live = lambda spans, gone=gone: [s for s in spans if not any(s[0] < b and a < s[1] for a, b in gone)]
-        for what, p, sep, store in (("assume", ASSUME, ":", out.assumes), ("conversion", AFFINE, "->", out.conversions)):
+        directives = [("assume", p, out.assumes) for p in assumes] + [("conversion", p, out.conversions) for p in conversions]
+        for what, p, store in directives:
             found = live(p.spans(body))
             for a, b, inner in found:
-                left, _, right = (x.strip() for x in inner.partition(sep))
+                left, _, right = (x.strip() for x in inner.partition(p.sep or ":"))
                 if left and right:
                     store.append(Directive(number, at + a, at + b, left, right))
                 else:
-                    out.issues.append(("U001", number, at + a, at + b, f"unit {what} needs two parts, parted by {sep!r}"))
+                    out.issues.append(("U001", number, at + a, at + b, f"unit {what} needs two parts, parted by {p.sep or ':'!r}"))
             if not found and p.opening in body:
                 out.issues.append(("U001", number, at, len(line), f"unit {what} isn't closed"))
         captured = [(i, live(p.spans(body))) for i, p in enumerate(patterns)]

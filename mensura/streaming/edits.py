@@ -22,6 +22,16 @@ def debounced(edits: DataFrame, quiet: str = QUIET, late: str = "10 seconds") ->
     return newest.select("uri", F.col("burst.end").alias("settled"), "last.version", "last.text", "n_edits")
 
 
+def throttled(edits: DataFrame, every: str = "250 milliseconds", late: str = "10 seconds") -> DataFrame:
+    """Of the edits of a uri in each stretch of time the first version and, if there is another, the last: what is shown at
+    once, and what is shown when the stretch is over. Works on streams (append) and on tables."""
+    marked = edits.withWatermark("ts", late) if edits.isStreaming else edits
+    own = marked.groupBy("uri", F.window("ts", every).alias("stretch")).agg(F.min(F.struct("version", "text")).alias("first"), F.max(F.struct("version", "text")).alias("last"))
+    both = F.array(F.struct(F.lit("leading").alias("edge"), F.col("first").alias("x")), F.struct(F.lit("trailing").alias("edge"), F.col("last").alias("x")))
+    kept = F.filter(both, lambda e: (e["edge"] == "leading") | (F.col("first.version") < F.col("last.version")))
+    return own.select("uri", F.col("stretch.end").alias("until"), F.explode(kept).alias("e")).select("uri", "until", "e.edge", "e.x.version", "e.x.text")
+
+
 def superseding(edits: DataFrame) -> DataFrame:
     """The edits that are newer than all before them of their uri; a late lower version is dropped. The state is one
     version number for each uri."""

@@ -243,6 +243,12 @@ def test_settings(tmp_path):
     f.write_text('scale = true\n[units.derived]\nknot = {dim = "L*T^-1", factor = "463/900"}\n[lexer]\nimplicit_product = true\n[severity]\nU005 = "off"\n')
     s = load(f)
     assert s.problem is None and s.scale and s.read("kg knot").factor * 900 == 463 and s.severities == {"U005": "off"}
+    f.write_text('[patterns]\nunit = [["[", "]"]]\nassume = [{open = "as<", close = ">", sep = ";"}]\ndead = [{open = "[", close = "]", regex = "[0-9]+"}]\n')
+    s = load(f)
+    notes = s.comments("real :: x  !< [m]\nreal :: y  !< [12]\nx = y  !< as<kg ; so it is>\n", frozenset())
+    assert [(a.line, a.unit) for a in notes.annotations] == [(1, "m")] and [(a.line, a.first, a.second) for a in notes.assumes] == [(3, "kg", "so it is")]
+    f.write_text('[patterns]\ndead = [{open = "(", regex = "("}]\n')
+    assert load(f).problem
     f.write_text("scale = [")
     assert load(f).problem and load(None).problem is None
 

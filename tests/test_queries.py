@@ -147,6 +147,8 @@ def test_edit_streams(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     batch = {(r["uri"], r["version"], r["text"], r["n_edits"]) for r in edits.debounced(spark.read.parquet(f"{tmp_path}/in")).collect()}
     assert batch == {("u", 2, "b", 2), ("u", 3, "c", 1), ("w", 5, "x", 2)}
+    shown = {(r["uri"], r["edge"], r["version"]) for r in edits.throttled(spark.read.parquet(f"{tmp_path}/in")).collect()}
+    assert shown == {("u", "leading", 1), ("u", "trailing", 2), ("u", "leading", 3), ("w", "leading", 5), ("w", "leading", 4)}
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     q = edits.superseding(stream).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
