@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
+FEW = 4  # shuffle partitions to a file of a small table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +54,13 @@ class Scratch:
         self.paths: dict[int, str] = {}
         Scratch.open.append(self)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, share: int = 1) -> DataFrame:
+        """share: how many shuffle partitions go to one file; more than one for tables of a few bytes a document, which would
+        else be lots of small files."""
         self.n += 1
         path = f"{self.root}/{self.n}"
+        if share > 1:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import FEW, Scratch
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): for every node of a link, the least node that can be reached. ``links`` has columns a and b.
 
     Each step is a grouped minimum, combined before it is shuffled, and a join on the node that isn't broadcast; the number of
-    steps grows with the logarithm of the largest distance. Links of a node with itself, or with null, count for nothing.
+    steps grows with the logarithm of the largest distance. Links of a node with itself, or with null, count for nothing;
+    repeated links are one, an empty table has no components, and other columns are not read.
     Steps end when every node's only neighbour is its root.
     """
-    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), FEW)
     while True:
         # a star forest: nobody has two lesser neighbours, and no root has a lesser one
         ups = edges.groupBy("u").agg(F.count("*").alias("n"))
@@ -32,6 +33,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        new = scratch.keep(small.where("u <> v").distinct())
+        new = scratch.keep(small.where("u <> v").distinct(), FEW)
         scratch.drop(edges)
         edges = new

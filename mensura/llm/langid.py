@@ -24,7 +24,7 @@ UNKNOWN = "und"
 TRAIN_DOCS = 5_000  # labelled documents to fit on, at most in expectation; the model holds all their words and n-grams
 LONGEST = 4
 SMOOTH = 0.5
-MEMO = 300_000
+MEMO = 100_000  # words whose scores a worker remembers
 _WORD = re.compile(r"[^\W\d_]+")  # numerals that aren't decimal digits are in it, too
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import Scratch, arrow_limits, table
+from .common import FEW, Scratch, arrow_limits, table
 from .components import components
 
 SHINGLE = 5
@@ -228,7 +228,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     places = classes.select(F.col("rep").alias("id"), F.explode("x.bands").alias("key"))
     sizes = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     places = scratch.keep(places.join(sizes.hint("merge"), "key").select("key", "id", "n"))
-    weight = scratch.keep(places.groupBy("id").agg(F.sum("n").alias("weight")))
+    weight = scratch.keep(places.groupBy("id").agg(F.sum("n").alias("weight")), FEW)
     ids = weight.select("id").hint("merge")
     sigs = scratch.keep(classes.select(F.col("rep").alias("id"), "x.sig").join(ids, "id", "left_semi"))
     texts = scratch.keep(docs.join(ids, "id", "left_semi"))
@@ -237,27 +237,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rest = lambda i: F.slice("ids", i + 2, F.size("ids") - i - 1)
     small = small.select(F.explode(F.transform(F.slice("ids", 1, F.size("ids") - 1), lambda x, i: F.struct(x.alias("a"), rest(i).alias("bs")))).alias("p"))
     small = small.select("p.a", F.explode("p.bs").alias("b"))
-    large = scratch.keep(places.where(F.col("n") > SMALL).join(weight.hint("merge"), "id").select("key", "id", "weight"))
+    large = scratch.keep(places.where(F.col("n") > SMALL).join(weight.hint("merge"), "id").select("key", "id", "weight"), FEW)
     pivots = large.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("a"))
     star = large.join(pivots.hint("merge"), "key").select("a", F.col("id").alias("b"))
     pairs = small.unionByName(star).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.keep(_confirmed(scratch.keep(_survivors(pairs, sigs)), texts))
-    roots = scratch.keep(components(links.unionByName(same_id), scratch))
+    links = scratch.keep(_confirmed(scratch.keep(_survivors(pairs, sigs), FEW), texts), FEW)
+    roots = scratch.keep(components(links.unionByName(same_id), scratch), FEW)
     # members of larger buckets that hold several components
     large = large.select("key", "id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = scratch.keep(large.join(mixed.hint("merge"), "key", "left_semi").select("id", "root").distinct())
+    members = scratch.keep(large.join(mixed.hint("merge"), "key", "left_semi").select("id", "root").distinct(), FEW)
     if members.limit(1).count():
         pairs = _survivors(_sharing_rare(members, texts, scratch), sigs)
-        found = scratch.keep(_confirmed(scratch.keep(pairs), texts))
+        found = scratch.keep(_confirmed(scratch.keep(pairs, FEW), texts), FEW)
         if found.limit(1).count():
             own = roots.select("node", "root")
             for end in ("a", "b"):  # the components so far are the nodes of what is left to join
                 found = found.join(own.withColumnRenamed("node", end).hint("merge"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-            more = scratch.keep(components(found, scratch))
+            more = scratch.keep(components(found, scratch), FEW)
             up = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
             roots = own.join(up.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-            roots = scratch.keep(roots.unionByName(more.select("node", "root").join(own.select("node").hint("merge"), "node", "left_anti")))
+            roots = scratch.keep(roots.unionByName(more.select("node", "root").join(own.select("node").hint("merge"), "node", "left_anti")), FEW)
     out = belongs.join(roots.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

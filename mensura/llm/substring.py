@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import Scratch, arrow_limits, table
+from .common import FEW, Scratch, arrow_limits, table
 
 WINDOW, ANCHOR = 35, 8
 #: A fingerprint with more occurrences has its windows dealt by their own hashes.
@@ -165,7 +165,7 @@ class FingerprintIndex:
         for name in self.tables[self.RUN]:
             hit = spark.table(name).select("fp", "kid", "kt").join(spark.table(shared).hint("merge"), "fp").select("kid", "kt", "fp", (F.col("n") > HOT).alias("hot"))
             known = hit if known is None else known.unionByName(hit)
-        known = scratch.keep(known.groupBy("kid", "kt").agg(F.collect_list(F.struct("fp", "hot")).alias("fps")))
+        known = scratch.keep(known.groupBy("kid", "kt").agg(F.collect_list(F.struct("fp", "hot")).alias("fps")), FEW)
         rows = None
         for name in self.tables[self.TEXTS]:
             own = spark.table(name).join(known.hint("merge"), ["kid", "kt"]).select("kid", "kt", "text", F.col("fps.fp").alias("fps"), F.col("fps.hot").alias("hot"))
