@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.arrays import running
 from .common import table
 
 BUDGET = 1024
@@ -51,18 +52,14 @@ def format_windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     Null texts and roles count as empty. Turns with equal numbers, repeated rows too, follow in order of role and text;
     rows with a null conversation are one conversation. Extra columns are not read. An empty table gives no rows. A row
-    holds one conversation, which is what has to be put in order; no expression compares turns with turns.
+    holds one conversation, which is what has to be put in order, so a worker must be able to hold the longest one and its
+    longest text; the work on it grows with its length, as turns are summed in blocks and windows are of bounded size.
     """
     rows = df.select(F.col(conv).alias("_conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", tokens(F.col("text")).cast("long"))
     talks = rows.groupBy("_conv").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("turns"))
     # running sums; a conversation's first turn is its system turn, if it has one
-    sums = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("upto")),
-        lambda a, x: F.struct((a["sum"] + x["tokens"]).alias("sum"), F.array_append(a["upto"], a["sum"] + x["tokens"]).alias("upto")),
-        lambda a: a["upto"],
-    )
+    sums = running(F.transform("turns", lambda x: x["tokens"]), kind="long")
     first = F.col("turns")[0]
     n_sys = F.when(first["role"] == SYSTEM, 1).otherwise(0)
     talks = talks.withColumns({"upto": sums, "n_sys": n_sys, "sys_tokens": n_sys * first["tokens"], "n": F.size("turns")})

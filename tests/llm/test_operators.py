@@ -202,18 +202,23 @@ def test_chat(spark):
     assert chat.format_windows(frame.limit(0)).count() == 0
 
 
-def test_lines(spark, docs, none, rows):
-    got = lines.remove_repeated_lines(docs.withColumn("n_lines", F.lit("clash"))).collect()
-    seen, first = set(), {}
-    order = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
-    for i, t in order:
+def brute_lines(rows):
+    """(id, text) to the number of lines, of removed ones, and the text that is left."""
+    seen, out = set(), {}
+    for i, t in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (x[0] is not None, x[0] or 0)):
         parts, gone = t.split("\n"), set()
         for j in range(len(parts) - 2):
             w = tuple(parts[j : j + 3])
             if w in seen:
                 gone |= {j, j + 1, j + 2}
             seen.add(w)
-        first[i, t] = (len(parts), len(gone), "\n".join(p for j, p in enumerate(parts) if j not in gone))
+        out[i, t] = (len(parts), len(gone), "\n".join(p for j, p in enumerate(parts) if j not in gone))
+    return out
+
+
+def test_lines(spark, docs, none, rows):
+    got = lines.remove_repeated_lines(docs.withColumn("n_lines", F.lit("clash"))).collect()
+    first = brute_lines(rows)
     assert len(got) == len(rows)
     assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got) == Counter((r[0], *(first[r[0], r[1]] if r[1] is not None else (0, 0, None))) for r in rows)
     assert any(r["n_removed"] for r in got) and lines.remove_repeated_lines(none).count() == 0
@@ -391,7 +396,7 @@ def test_pii_finds_what_the_patterns_miss(spark):
     assert all(not got[t] for t in refused), {t: got[t] for t in refused}
 
 
-def test_boosting():
+def test_boosting(spark):
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(int)
@@ -400,6 +405,8 @@ def test_boosting():
     p = m.probability(x[held])
     # sixteen cuts for a feature leave a few rows at the borders on the wrong side
     assert ((p > 0.5) == y[held]).mean() > 0.9
+    some = spark.createDataFrame([(v.tolist(),) for v in x[held][:50]], "f array<double>").select(m.column(F.col("f")).alias("p")).collect()
+    assert np.allclose([r["p"] for r in some], p[:50])
 
 
 def brute_components(rows):

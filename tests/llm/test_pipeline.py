@@ -1,8 +1,10 @@
 """The pipeline over a small folder of documents, stage by stage."""
 
 import random
+import re
 
 import pytest
+from test_operators import PLAIN, brute_components, brute_lines, passes
 
 import corpus_pipeline
 from mensura.llm import packing, queries
@@ -37,6 +39,15 @@ def test_stages(spark, folder, tmp_path):
     assert seen[1][105]["text"].count("\n") > seen[1][106]["text"].count("\n")
     assert 100 not in seen[2] and 101 not in seen[2] and 10 in seen[2]
     assert "[EMAIL]" in seen[3][104]["text"] and "@" not in seen[3][104]["text"] and seen[3][104]["n_chars"] == len(seen[3][104]["text"])
+    # each stage against brute force over its own input
+    said = lambda k: {i: r["text"] for i, r in seen[k].items()}
+    left = {i: kept for (i, _), (_, gone, kept) in brute_lines([*said(0).items()]).items() if not gone or kept.strip()}
+    assert said(1) == left
+    assert set(seen[2]) == {i for i, _, c in brute_components([*left.items()]) if i == c} and said(2).items() <= left.items()
+    assert set(seen[3]) == set(seen[2])
+    for i, text in said(2).items():
+        hits = [m for k, p in PLAIN.items() for m in re.finditer(p, text) if passes(k, m[0])]
+        assert (said(3)[i] == text) == (not hits) and not any(m[0] in said(3)[i] for m in hits)
     assert set(seen[4]) == set(seen[3])
     for i, r in seen[4].items():
         assert r["doc_tokens"] == len(packing.token_table(packing.default_model()).encode(seen[3][i]["text"])) // 4 + 1
