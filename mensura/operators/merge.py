@@ -12,8 +12,11 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str], values: list[s
 
 
 def disputed(rows: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
-    """Keys with more than one value: the first value and the number of values."""
-    out = rows.groupBy(*key).agg(F.min(F.struct(*order, value)).alias("_first"), F.count_distinct(value).alias("n_claims")).where("n_claims > 1")
+    """Keys with more than one value: the first value and the number of values. Null values are none; a null in the order
+    comes last. What ``order`` leaves open goes by the value."""
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))], value)
+    first = F.min(F.when(F.col(value).isNotNull(), place)).alias("_first")
+    out = rows.groupBy(*key).agg(first, F.count_distinct(value).alias("n_claims")).where("n_claims > 1")
     return out.select(*key, F.col(f"_first.{value}").alias("kept"), "n_claims")
 
 

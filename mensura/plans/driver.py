@@ -326,8 +326,10 @@ def q21(spark, d):
     """SELECT l_partkey, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS kept, count(DISTINCT l_returnflag) AS n_claims FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1""",
 )
 def q22(spark, d):
-    rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
-    return merge.disputed(rows, ["l_partkey"], "l_returnflag", ["l_orderkey", "l_linenumber"])
+    # some lines are there twice; of these the SQL takes the one that the table has first
+    at = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_path", "row_index")]
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", *at)
+    return merge.disputed(rows, ["l_partkey"], "l_returnflag", ["l_orderkey", "l_linenumber", "_file_path", "_row_index"])
 
 
 @query(

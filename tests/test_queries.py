@@ -46,6 +46,15 @@ def test_against_sql(spark, duck, name):
     assert rows(r.asDict() for r in got.collect()) == rows(dict(zip(want.columns, r, strict=True)) for r in want.fetchall())
 
 
+def test_two_claims_of_one_line(spark, duck, tmp_path):
+    """Claims of one line: the first in the table is kept, whatever its value; null claims are none, null lines come last."""
+    rows = "(1, 7, 1, 'R'), (1, 7, 1, 'A'), (2, 7, 1, 'A'), (2, 7, 1, 'R'), (3, 5, 1, NULL), (3, 5, 2, 'R'), (3, 6, 1, 'A'), (4, NULL, 1, 'A'), (4, 9, 1, 'R'), (5, 1, NULL, 'A'), (5, 1, 2, 'N')"
+    duck.sql(f"COPY (FROM (VALUES {rows}) AS t(l_partkey, l_orderkey, l_linenumber, l_returnflag)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    want = sorted(duck.sql(SQL["q22_two_claims"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'")).fetchall())
+    got = ALL["q22_two_claims"](spark, f"file://{tmp_path}").select("l_partkey", "kept", "n_claims").collect()
+    assert sorted(map(tuple, got)) == want == [(1, "R", 2), (2, "A", 2), (3, "R", 2), (4, "R", 2), (5, "N", 2)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
