@@ -1,4 +1,4 @@
-"""Small gradient-boosted trees on a bounded sample, scored as a column expression."""
+"""Small gradient-boosted trees on weighted rows, scored as a column expression."""
 
 from __future__ import annotations
 
@@ -57,62 +57,68 @@ class Boosted:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-(total * self.slope + self.shift)))
 
 
+def between(v: np.ndarray) -> np.ndarray:
+    """At most ``CUTS`` thresholds between sorted distinct values."""
+    mid = (v[1:] + v[:-1]) / 2
+    return mid if len(mid) <= CUTS else mid[np.linspace(0, len(mid) - 1, CUTS).astype(int)]
+
+
 def _cuts(x: np.ndarray) -> list[np.ndarray]:
     out = []
     for j in range(x.shape[1]):
-        v = np.unique(x[:, j])
-        mid = (v[1:] + v[:-1]) / 2
-        out.append(mid if len(mid) <= CUTS else mid[np.linspace(0, len(mid) - 1, CUTS).astype(int)])
+        out.append(between(np.unique(x[:, j])))
     return out
 
 
-def _best(x, g, h, cuts) -> tuple[float, int, float]:
-    """Gain, feature and threshold of the best split."""
+def _best(b, g, h, w, cuts) -> tuple[float, int, float]:
+    """Gain, feature and threshold of the best split; ``b`` has the number of each feature's cuts below a value."""
     top = (0.0, 0, np.inf)
-    whole = g.sum() ** 2 / (h.sum() + RIDGE)
+    all_g, all_h, all_w = g.sum(), h.sum(), w.sum()
+    whole = all_g**2 / (all_h + RIDGE)
     for j, own in enumerate(cuts):
-        for c in own:
-            low = x[:, j] <= c
-            n = int(low.sum())
-            if min(n, len(x) - n) < LEAST:
+        below = [np.cumsum(np.bincount(b[:, j], v, len(own) + 1)) for v in (g, h, w)]
+        for c, gl, hl, n in zip(own, *below, strict=False):
+            if min(n, all_w - n) < LEAST:
                 continue
-            gl, hl = g[low].sum(), h[low].sum()
-            gain = gl**2 / (hl + RIDGE) + (g.sum() - gl) ** 2 / (h.sum() - hl + RIDGE) - whole
+            gain = gl**2 / (hl + RIDGE) + (all_g - gl) ** 2 / (all_h - hl + RIDGE) - whole
             if gain > top[0] + 1e-9:
                 top = (float(gain), j, float(c))
     return top
 
 
-def _side(x, g, h, cuts) -> tuple[int, float, float, float]:
+def _side(x, b, g, h, w, cuts) -> tuple[int, float, float, float]:
     value = lambda m: float(-RATE * g[m].sum() / (h[m].sum() + RIDGE))
-    _, j, c = _best(x, g, h, cuts)
+    _, j, c = _best(b, g, h, w, cuts)
     low = x[:, j] <= c
     return j, c if np.isfinite(c) else 1e300, value(low), value(~low)
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted:
-    """Trees on the rows that are not held out, the margin's calibration on those that are."""
-    xt, yt = x[~held], y[~held].astype(float)
-    p = min(max(yt.mean() if len(yt) else 0.5, 1e-3), 1 - 1e-3)
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, weight: np.ndarray | None = None, cuts: list[np.ndarray] | None = None) -> Boosted:
+    """Trees on the rows that are not held out, the margin's calibration on those that are. weight: how many examples a row
+    stands for; cuts: each feature's thresholds, taken from the rows if none are given."""
+    weight = np.ones(len(x)) if weight is None else weight.astype(float)
+    xt, yt, wt = x[~held], y[~held].astype(float), weight[~held]
+    p = min(max(float(np.average(yt, weights=wt)) if len(yt) else 0.5, 1e-3), 1 - 1e-3)
     model = Boosted(float(np.log(p / (1 - p))), [])
-    cuts, f = _cuts(xt), np.full(len(xt), model.bias)
+    cuts, f = _cuts(xt) if cuts is None else cuts, np.full(len(xt), model.bias)
+    b = np.stack([np.searchsorted(c, xt[:, j]) for j, c in enumerate(cuts)], 1) if len(cuts) else np.zeros((len(xt), 0), int)
     for _ in range(ROUNDS):
         q = 1 / (1 + np.exp(-f))
-        g, h = q - yt, q * (1 - q)
-        gain, j, c = _best(xt, g, h, cuts)
+        g, h = wt * (q - yt), wt * q * (1 - q)
+        gain, j, c = _best(b, g, h, wt, cuts)
         if gain <= 1e-6:
             break
         low = xt[:, j] <= c
-        t = Tree(j, c, _side(xt[low], g[low], h[low], cuts), _side(xt[~low], g[~low], h[~low], cuts))
+        t = Tree(j, c, _side(xt[low], b[low], g[low], h[low], wt[low], cuts), _side(xt[~low], b[~low], g[~low], h[~low], wt[~low], cuts))
         model.trees.append(t)
         f += t.values(xt)
-    m, yh = model.margin(x[held]), y[held].astype(float)
+    m, yh, wh = model.margin(x[held]), y[held].astype(float), weight[held]
     for _ in range(25):  # Newton's steps with a little shrinkage
         if len(np.unique(yh)) < 2:
             break
         q = 1 / (1 + np.exp(-np.clip(model.slope * m + model.shift, -30, 30)))
-        w = q * (1 - q)
-        grad = np.array([((q - yh) * m).sum() + 0.1 * (model.slope - 1), (q - yh).sum() + 0.1 * model.shift])
+        w = wh * q * (1 - q)
+        grad = np.array([(wh * (q - yh) * m).sum() + 0.1 * (model.slope - 1), (wh * (q - yh)).sum() + 0.1 * model.shift])
         hess = np.array([[(w * m * m).sum() + 0.1, (w * m).sum()], [(w * m).sum(), w.sum() + 0.1]])
         step = np.linalg.solve(hess, grad)
         model.slope, model.shift = float(model.slope - step[0]), float(model.shift - step[1])

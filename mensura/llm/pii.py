@@ -3,7 +3,7 @@ alone.
 
 Base spans of four kinds come from patterns and checks and always stand. Looser generators propose further spans, which
 overlap one another. Nobody has labelled these, and what the base patterns say of them is no label, since they miss them by
-definition. So the trees learn from a bounded sample whose answers are known by construction: base spans as they are, base
+definition. So the trees learn from examples whose answers are known by construction, all those of all texts: base spans as they are, base
 spans written another way where they stand (``name (at) host [dot] org``, a card with a digit mistyped, a phone without its
 plus, an address with commas), against base spans spoilt where they stand (too few or too many digits, parts over 255, a date,
 a host without a name), spans of one kind taken for another, and the corpus's own proposals whose shape is none of a written-another-way span. A proposal is added
@@ -55,8 +55,6 @@ LOOKS = {
 CONTEXT = 24
 #: Words that tell of a kind when they come just before a span.
 HINTS = {"email": "mail|contact", "ip": r"\bip\b|host|addr|server", "card": "card|visa|credit|pay|account", "phone": "phone|tel|call|mobile|fax|contact"}
-TRAIN_DOCS = 4_000  # documents to fit on, in expectation
-TRAIN_SPANS = 40_000  # spans of them, at most: those of the smallest hashes
 PRECISION = 0.98
 SPAN = "array<struct<start:int,rank:int,end:int,hit:string,kind:string,left:string,after:string>>"
 PUBLIC = ("start", "rank", "end", "hit", "kind")
@@ -227,55 +225,80 @@ class Finder:
 
 
 def examples(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(at, kind, hit, f, y) of documents: base spans and what is made of them, and proposals of other shapes. The spans are
-    written once; what follows reads them alone."""
+    """(held, f, y, n) of all distinct texts: base spans and what is made of them, and proposals of other shapes, with the
+    number of examples that are alike. Texts don't move: a text's spans go to the other copies' by a digest of it. held: a
+    third of the texts, by another hash."""
     scratch = scratch or Scratch(docs.sparkSession, "examples")
-    docs = proposals(base_spans(docs, text), text)
-    place = F.shiftrightunsigned(F.xxhash64(text), 11).alias("at")
-    row = lambda x, hit, y: F.struct(*[x[c].alias(c) for c in ("kind", "rank", "left", "after")], hit.alias("hit"), y.alias("y"))
-    base = F.transform("_base", lambda x: row(x, x["hit"], F.lit(1)))
-    made = F.flatten(F.transform("_base", lambda x: F.transform(variants(x["kind"], x["hit"]), lambda v: row(x, v["hit"], v["y"]))))
-    wild = F.transform(apart(F.col("_wide"), F.col("_base")), lambda x: row(x, x["hit"], F.lit(0)))
-    rows = docs.select(place, F.explode(F.concat(F.transform(F.concat(base, made), lambda s: F.struct(s.alias("s"), F.lit(True).alias("sure"))), F.transform(wild, lambda s: F.struct(s.alias("s"), F.lit(False).alias("sure"))))).alias("r"))
-    rows = scratch.keep(rows.select("at", "r.s.*", "r.sure").withColumn("shape", shape(F.col("hit"))))
-    # a proposal that looks like a span written another way may be one: it says nothing
-    good = rows.where("sure and y = 1").select("kind", "shape").distinct()
-    unsure = rows.where("not sure").join(good, ["kind", "shape"], "left_anti")
+    docs = proposals(base_spans(docs.select(F.col(text).alias("text")).where("text is not null"), "text"), "text")
+    spans = docs.select((F.shiftrightunsigned(F.xxhash64("text"), 11) % 10 < 3).alias("held"), F.when(F.size("_base") + F.size("_wide") > 0, F.sha2("text", 256)).alias("key"), "_base", apart(F.col("_wide"), F.col("_base")).alias("_wild"))
+    # texts without spans are one row; a filter here would be pushed below, and the patterns tried for it again and again
+    spans = spans.dropDuplicates(["key"])
+    row = lambda x, hit, y, sure: F.struct(*[x[c].alias(c) for c in ("kind", "rank", "left", "after")], hit.alias("hit"), y.alias("y"), F.lit(sure).alias("sure"))
+    base = F.transform("_base", lambda x: row(x, x["hit"], F.lit(1), True))
+    made = F.flatten(F.transform("_base", lambda x: F.transform(variants(x["kind"], x["hit"]), lambda v: row(x, v["hit"], v["y"], True))))
+    wild = F.transform("_wild", lambda x: row(x, x["hit"], F.lit(0), False))
+    rows = spans.select("held", F.explode(F.concat(base, made, wild)).alias("r")).select("held", "r.*")
     # a span of one kind is none of the others that it is proposed as
-    sure, other = rows.where("sure"), None
-    for k, looks in LOOKS.items():
-        own = sure.where((F.col("y") == 1) & (F.col("kind") != k) & looks(F.col("hit"))).withColumns({"kind": F.lit(k), "rank": F.lit(KINDS.index(k)), "y": F.lit(0)})
-        other = own if other is None else other.unionByName(own)
-    rows = sure.unionByName(unsure).unionByName(other)
-    return rows.select("at", "kind", "hit", features(F.col("kind"), F.col("rank"), F.col("hit"), F.col("left"), F.col("after")).alias("f"), "y")
-
-
-def fit(df: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, train_spans: int = TRAIN_SPANS) -> Finder:
-    """Trees and thresholds from a sample chosen by a hash of the text (null and repeated texts and other columns play no part,
-    long ones are read whole): ``train_docs`` documents in expectation, at most
-    ``train_spans`` spans of them. Each kind has trees of its own. Nothing is ever added of a kind that the sample
-    lacks examples or counterexamples of. ``Finder.held`` has precision and recall on the held-out third."""
-    docs = df.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = docs.count()
-    where = F.shiftrightunsigned(F.xxhash64("text"), 11)
-    if n > train_docs:
-        docs = docs.where(where < int((1 << 53) * (train_docs / n)))
+    good = F.col("sure") & (F.col("y") == 1)
+    form = F.when(good | ~F.col("sure"), shape(F.col("hit"))).alias("shape")
+    as_kind = lambda kind, rank, y, sh: F.struct(kind.alias("kind"), rank.alias("rank"), y.alias("y"), sh.alias("shape"))
+    other = [F.when(good & (F.col("kind") != k) & looks(F.col("hit")), as_kind(F.lit(k), F.lit(KINDS.index(k)), F.lit(0), F.lit(None).cast("string"))) for k, looks in LOOKS.items()]
+    taken = F.array_compact(F.array(as_kind(F.col("kind"), F.col("rank"), F.col("y"), form), *other))
+    rows = rows.select("held", "sure", "hit", "left", "after", F.explode(taken).alias("t")).select("held", "sure", "t.kind", "t.y", "t.shape", features(F.col("t.kind"), F.col("t.rank"), F.col("hit"), F.col("left"), F.col("after")).alias("f"))
+    rows = scratch.keep(rows.groupBy("held", "sure", "kind", "y", "shape", "f").agg(F.count("*").alias("n")))
+    # a proposal that looks like a span written another way may be one: it says nothing
+    known = rows.where("sure and y = 1").select("kind", "shape").distinct()
+    unsure = rows.where("not sure").join(known.hint("merge"), ["kind", "shape"], "left_anti")
+    return rows.where("sure").unionByName(unsure).groupBy("held", "f", "y").agg(F.sum("n").alias("n"))
+
+
+def _thresholds(rows: DataFrame) -> dict[int, list[np.ndarray]]:
+    """Each kind's thresholds of each feature, between the values that its examples have. The values are few: to have many
+    lengths a corpus must grow with their square."""
+    values: dict[int, list[set]] = {i: [set() for _ in FEATURES] for i in range(len(KINDS))}
+    for kind, j, v in rows.where("not held").select(F.get("f", 0).cast("int").alias("kind"), F.posexplode("f")).distinct().coalesce(8).toLocalIterator():
+        values[kind][j].add(v)
+    return {i: [boost.between(np.array(sorted(own), float)) for own in some] for i, some in values.items()}
+
+
+def _binned(rows: DataFrame, cuts: dict[int, list[np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each kind's features, answers, whether held out, and weights. Examples that no threshold tells apart are one row whose
+    weight is their number, so the driver's share is small however many there are; a row's features are thresholds at least
+    as large as its values, below which no other ones are."""
+    limits = F.array(*[F.array(*[F.lit([float(c) for c in own]).cast("array<double>") for own in cuts[i]]) for i in range(len(KINDS))])
+    under = lambda v, j: F.size(F.filter(F.get(F.get(limits, F.get("f", 0).cast("int")), j), lambda c: c < v))
+    code = F.array_join(F.transform("f", lambda v, j: F.chr(under(v, j) + 65)), "")
+    told = rows.groupBy(F.get("f", 0).cast("int").alias("kind"), code.alias("code"), "y", "held").agg(F.sum("n").alias("n"))
+    got = sorted((r["kind"], r["code"].encode(), r["y"], r["held"], r["n"]) for r in told.coalesce(8).toLocalIterator())
+    out = {}
+    for i in range(len(KINDS)):
+        own = [r for r in got if r[0] == i]
+        bins = np.frombuffer(b"".join(r[1] for r in own), np.uint8).reshape(-1, len(FEATURES)) - 65
+        tops = [np.append(c, c[-1] + 1 if len(c) else 0.0) for c in cuts[i]]
+        x = np.stack([top[bins[:, j]] for j, top in enumerate(tops)], 1)
+        out[i] = x, np.array([r[2] for r in own]), np.array([r[3] for r in own], bool), np.array([r[4] for r in own], float)
+    return out
+
+
+def fit(df: DataFrame, text: str = "text") -> Finder:
+    """Trees and thresholds from all examples of all distinct texts (null ones and other columns play no part, long ones are
+    read whole). Each kind has trees of its own. Nothing is ever added of a kind that lacks examples or counterexamples.
+    ``Finder.held`` has the number of right examples in the held-out third, precision and recall on it."""
     scratch = Scratch(df.sparkSession, "examples")
-    rows = scratch.keep(examples(docs.dropDuplicates(["text"]), scratch=scratch).select("at", "f", "y"))
-    got = sorted((r["at"], tuple(r["f"]), r["y"]) for r in rows.orderBy("at", "f", "y").limit(train_spans).toLocalIterator())
+    rows = scratch.keep(examples(df, text, scratch))
+    cuts = _thresholds(rows)
+    told = _binned(rows, cuts)
     scratch.close()
     out = Finder()
-    x, y = np.array([f for _, f, _ in got]).reshape(-1, len(FEATURES)), np.array([y for _, _, y in got])
-    held = np.array([at % 10 < 3 for at, _, _ in got], bool)
     for i, k in enumerate(KINDS):
-        own = x[:, 0] == i
-        if min(len(np.unique(y[own & ~held])), len(np.unique(y[own & held]))) < 2:
+        x, y, held, weight = told[i]
+        if min(len(np.unique(y[~held])), len(np.unique(y[held]))) < 2:
             continue
-        model = boost.fit(x[own], y[own], held[own])
-        q, good = model.probability(x[own & held]), y[own & held]
+        model = boost.fit(x, y, held, weight, cuts[i])
+        q, good, n = model.probability(x[held]), y[held], weight[held]
         order = np.argsort(-q, kind="stable")
-        hits = np.cumsum(good[order])
-        ok = np.flatnonzero((hits >= PRECISION * np.arange(1, len(q) + 1)) & (hits >= 5))
+        hits, taken = np.cumsum((good * n)[order]), np.cumsum(n[order])
+        ok = np.flatnonzero((hits >= PRECISION * taken) & (hits >= 5))
         ok = [j for j in ok if j + 1 == len(q) or q[order[j + 1]] < q[order[j]]]
         if not ok:
             continue
@@ -283,8 +306,8 @@ def fit(df: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, train_s
         last = q[order[ok[-1]]]
         below = q[order[ok[-1] + 1]] if ok[-1] + 1 < len(q) else 0.0
         out.models[k], out.thresholds[k] = model, max(float((last + below) / 2), 0.5)
-        taken = q >= out.thresholds[k]
-        out.held[k] = (int(good.sum()), float(good[taken].mean()) if taken.any() else 1.0, float(taken[good == 1].mean()))
+        added = n * (q >= out.thresholds[k])
+        out.held[k] = (int((good * n).sum()), float((good * added).sum() / added.sum()) if added.any() else 1.0, float((good * added).sum() / (good * n).sum()))
     return out
 
 

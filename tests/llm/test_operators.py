@@ -566,3 +566,21 @@ def test_scan_drops_what_is_far():
     assert np.allclose(found, d[at, of]) and (found <= bounds[at] * (1 + 1e-6)).all() and len(at) >= 45
     at, of, _ = nearest.scan([x[:, a:b] for a, b in nearest.cuts(64)], q, np.full(5, np.inf), 10)
     assert all(len(set(of[at == i]) & set(np.argsort(d[i])[:10])) >= 9 for i in range(5))
+
+
+def test_pii_learns_from_all_texts(spark):
+    """Every span of every distinct text counts, in whichever of a great number of documents it is; copies count once."""
+    texts = [f"call +1 202 555 {i:04d} or write to a{i}@b.com, p{i}" for i in range(6000)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, *texts[:500], None, "", "plain"]], "text string")
+    finder = pii.fit(frame)
+    held = [r[0] for r in frame.distinct().where("text like 'call%' and shiftrightunsigned(xxhash64(text), 11) % 10 < 3").collect()]
+    assert finder.held["email"][0] == 6 * len(held) and len(held) > 1500  # each as it is and written in five other ways
+
+
+def test_boosting_by_weights():
+    """A row that stands for several examples counts as these do."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (400, 3)).astype(float)
+    y, held, n = (x[:, 0] + x[:, 1] > 5).astype(int), rng.random(400) < 0.3, rng.integers(1, 5, 400)
+    whole = [np.repeat(v, n, 0) for v in (x, y, held)]
+    assert np.allclose(boost.fit(x, y, held, n).probability(x), boost.fit(*whole).probability(x))
