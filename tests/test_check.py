@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from mensura.plans import check as C
 from mensura.plans import lookup, report
@@ -293,3 +294,8 @@ def broadcast_by_path(spark, monkeypatch, frame):
 
 def test_findings_of_all_files_stay_out_of_the_driver(spark, monkeypatch):
     assert broadcast_by_path(spark, monkeypatch, lambda c: c.diagnostics) == []
+
+
+def test_histogram_and_conflicts_stay_out_of_the_driver(spark, monkeypatch):
+    both = lambda c: report.histogram(c).select("code").unionByName(C.conflicts(c.points).select(F.col("name").alias("code")))
+    assert broadcast_by_path(spark, monkeypatch, both) == []
