@@ -35,7 +35,7 @@ def innermost(points: DataFrame, ranges: DataFrame, key: list[str], at: str, nam
     return points.distinct().join(hit, own, "left").select(*own, *rest, F.col("_name").alias(name)).select(*points.columns, name)
 
 
-def attach(annotations: DataFrame, declared: DataFrame) -> dict[str, DataFrame]:
+def attach(annotations: DataFrame, declared: DataFrame, keep=lambda df: df) -> dict[str, DataFrame]:
     """Units of names, and what found none.
 
     annotations: path, kind (PRE or POST), line, col, unit_text; pre-blocks are runs of PRE lines.
@@ -44,7 +44,8 @@ def attach(annotations: DataFrame, declared: DataFrame) -> dict[str, DataFrame]:
     A POST annotation is about the names that end on its line in the declaration around it; a PRE block about the
     declaration right below it, if that is on one line. Gives ``units``, ``orphans``, ``multi_line`` (PRE over more lines),
     ``left_out`` (names on later lines of a declaration annotated on an earlier one), ``defaults``. Joins are merge joins:
-    each side grows with the files, and Spark takes well compressed ones for small enough to go through the driver.
+    each side grows with the files, and Spark takes well compressed ones for small enough to go through the driver. ``keep``
+    writes what several results are made of, so that none has all these joins in its plan, which takes the driver's memory, too.
     """
     post = annotations.where("kind = 'POST'")
     pre = islands(annotations.where("kind = 'PRE'"), ["path"], "line")
@@ -52,14 +53,16 @@ def attach(annotations: DataFrame, declared: DataFrame) -> dict[str, DataFrame]:
     at = post.alias("a").join(spans.hint("merge").alias("d"), [F.col("a.path") == F.col("d.path"), F.col("a.line").between(F.col("d.line_start"), F.col("d.line_end"))], "left")
     at = at.select("a.*", "decl_id", "line_start", "line_end")
     below = pre.alias("a").join(spans.hint("merge").alias("d"), [F.col("a.path") == F.col("d.path"), F.col("d.line_start") == F.col("a.block_end") + 1], "left").select("a.*", "decl_id", "line_start", "line_end")
-    below = below.drop("block_end")
+    met = keep(at.unionByName(below.drop("block_end")))
+    at, below = met.where("kind = 'POST'"), met.where("kind = 'PRE'")
     named = declared.select("path", "decl_id", "name", "name_end_line", "scope", "enclosing_type").hint("merge")
     by_post = at.where("decl_id is not null").join(named, ["path", "decl_id"]).where("name_end_line = line")
     by_pre = below.where("line_start = line_end").join(named, ["path", "decl_id"])
-    units = by_post.unionByName(by_pre).select("path", "scope", "enclosing_type", F.lower("name").alias("name"), "unit_text", "line", "col", "decl_id", F.lit("explicit").alias("origin"))
-    orphans = at.unionByName(below).where("decl_id is null").select("path", "line", "col", "unit_text")
+    hits = keep(by_post.unionByName(by_pre))
+    units = hits.select("path", "scope", "enclosing_type", F.lower("name").alias("name"), "unit_text", "line", "col", "decl_id", F.lit("explicit").alias("origin"))
+    orphans = met.where("decl_id is null").select("path", "line", "col", "unit_text")
     multi = below.where("line_start < line_end").select("path", "line", "col", "unit_text", "line_start", "line_end")
-    anchor = by_post.where("line < line_end").groupBy("path", "decl_id").agg(F.max("line").alias("anchor"))
+    anchor = hits.where("kind = 'POST' and line < line_end").groupBy("path", "decl_id").agg(F.max("line").alias("anchor"))
     owned = units.select("path", "decl_id", "name").distinct().hint("merge")
     left = declared.withColumn("name", F.lower("name")).join(anchor.hint("merge"), ["path", "decl_id"]).where("name_end_line > anchor").join(owned, ["path", "decl_id", "name"], "left_anti")
     left = left.groupBy("path", "decl_id", "anchor").agg(F.array_sort(F.collect_list("name")).alias("names"))
